@@ -4,12 +4,15 @@
 that SQL can express; nothing outside this subpackage imports it.
 """
 
-from factloom.llm import exact_dedup, line_dedup, mixing
+from factloom.llm import exact_dedup, html_extract, line_dedup, mixing, quality, toxicity
 
 QUERIES = {
+    "op2_quality": quality.op2_quality,
     "op3_source_mix": mixing.op3_source_mix,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op5_line_dedup": line_dedup.op5_line_dedup,
+    "op8_toxicity": toxicity.op8_toxicity,
+    "op10_html_text": html_extract.op10_html_text,
 }
 ORACLES = {
     "op3_source_mix": mixing.SQL,
