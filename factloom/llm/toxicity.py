@@ -163,12 +163,13 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic") -> ToxicityMo
     told = labels.where(F.col("doc_id").isNotNull() & F.col(column).isNotNull()).groupBy("doc_id").agg(
         F.max(F.when(F.col(column) > 0, 1).otherwise(0)).alias("label")
     )
+    told_here = told.hint("shuffle_hash")  # labels grow with the texts: never a broadcast
     rank = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("calibration")), F.lit(1_000_000))
     texts = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull())
     n = told.count()
     fold = max(1, int(1_000_000 * min(0.2, CALIBRATION / max(n, 1))))
     counts = (
-        texts.where(rank >= fold).join(told, "doc_id").select("text", "label")
+        texts.where(rank >= fold).join(told_here, "doc_id").select("text", "label")
         .mapInPandas(_count_cells, "cell int, toxic long, ordinary long")
         .groupBy("cell").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")).toPandas()
     )
@@ -180,7 +181,7 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic") -> ToxicityMo
     shared = docs.sparkSession.sparkContext.broadcast(ratios)
     as_features = F.pandas_udf(lambda t: pd.Series([features(x, shared.value) for x in t]), T.ArrayType(T.DoubleType()))
     sample = (
-        texts.where(rank < fold).join(told, "doc_id").orderBy(rank, "doc_id").limit(CALIBRATION)
+        texts.where(rank < fold).join(told_here, "doc_id").orderBy(rank, "doc_id").limit(CALIBRATION)
         .select("label", as_features("text").alias("x")).collect()
     )
     y = np.array([r["label"] for r in sample], float)
