@@ -4,13 +4,14 @@
 that SQL can express; nothing outside this subpackage imports it.
 """
 
-from factloom.llm import exact_dedup, html_extract, line_dedup, mixing, near_dedup, quality, toxicity
+from factloom.llm import ann, exact_dedup, html_extract, line_dedup, mixing, near_dedup, quality, toxicity
 
 QUERIES = {
     "op2_quality": quality.op2_quality,
     "op3_source_mix": mixing.op3_source_mix,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op5_line_dedup": line_dedup.op5_line_dedup,
+    "op6_nearest": ann.op6_nearest,
     "op7_near_dedup": near_dedup.op7_near_dedup,
     "op8_toxicity": toxicity.op8_toxicity,
     "op10_html_text": html_extract.op10_html_text,
