@@ -10,15 +10,18 @@ is at least ``percent`` / 100, compared as whole numbers on the full sets.
    its smallest id: a line of pairs for a bucket, never all of them.
 3. Links are confirmed on the full sets, and components built by large-star and
    small-star. Buckets whose members are all in one component are finished.
-4. Round two looks at the other buckets. Members are dealt into blocks of
-   ``BLOCK``; a task holds two blocks and compares their minima, and hands on the
-   pairs of different components whose estimate is within four standard errors
-   of the threshold, each pair only in the first band it shares. These are
-   confirmed on the full sets too, and the components joined up.
+4. Rounds two and three look at the other buckets. Members are dealt into blocks
+   of ``BLOCK``; a task holds two blocks and compares their minima. Round two
+   hands on each member's likeliest partner in another component, one a member
+   and task; nearly all remaining links are found by it. Round three, over the
+   components as they then are, hands on every pair of different components whose
+   estimate is within four standard errors of the threshold, each pair only in
+   the first band it shares. All are confirmed on the full sets, and the
+   components joined up after each round.
 
 No partner, bucket or candidate is capped. What can be missed is what banding
 misses: a pair just at the threshold escapes all bands with a probability of
-3e-6 at 0.8 and 1e-8 at 0.85, and the estimate's margin with 3e-5 in round two.
+3e-6 at 0.8 and 1e-8 at 0.85, and the estimate's margin with 3e-5 in round three.
 
 Nulls and odd rows: texts without words have an empty set and no links; a null
 doc_id takes no part, is kept and has a null component; rows that share a doc_id
@@ -98,8 +101,8 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def _block_pairs(rows: pd.DataFrame, least: float, percent: int) -> pd.DataFrame:
-    """Pairs of one bucket's two blocks: of different components, first met in this band, near the threshold."""
+def _block_pairs(rows: pd.DataFrame, least: float, percent: int, best: bool) -> pd.DataFrame:
+    """Pairs of one bucket's two blocks: of different components, near the threshold, first met in this band; or the best of each row."""
     sig = np.stack([np.frombuffer(s, np.uint32) for s in rows["sig"]])
     ids, comp, n, band = rows["id"].to_numpy(), rows["comp"].to_numpy(), rows["n"].to_numpy(), int(rows["band"].iloc[0])
     left = np.flatnonzero(rows["side"].to_numpy() != 1)
@@ -107,21 +110,26 @@ def _block_pairs(rows: pd.DataFrame, least: float, percent: int) -> pd.DataFrame
     us, vs = [], []
     for i in left:
         j = right[comp[right] != comp[i]]
-        if rows["side"].iloc[i] == 2:
+        if rows["side"].iloc[i] == 2 and not best:
             j = j[j > i]
         if not len(j):
             continue
         same = sig[j] == sig[i]
-        ok = (same.sum(axis=1) >= least * sig.shape[1]) & (n[j] * 100 >= n[i] * percent) & (n[i] * 100 >= n[j] * percent)
-        if band and ok.any():
+        agree = same.sum(axis=1)
+        ok = (agree >= least * sig.shape[1]) & (n[j] * 100 >= n[i] * percent) & (n[i] * 100 >= n[j] * percent)
+        if best and ok.any():
+            likeliest = int(np.argmax(np.where(ok, agree, -1)))
+            ok[:] = False
+            ok[likeliest] = True
+        elif band and ok.any():
             ok[ok] = ~same[ok, : band * ROWS].reshape(int(ok.sum()), band, ROWS).all(axis=2).any(axis=1)
         us.append(np.full(int(ok.sum()), ids[i]))
         vs.append(ids[j[ok]])
     return pd.DataFrame({"u": np.concatenate(us) if us else ids[:0], "v": np.concatenate(vs) if vs else ids[:0]})
 
 
-def bucket_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """Round two's pairs from (band, key, id, comp, n, sig, bi, bj, side), dealt by bucket and pair of blocks."""
+def bucket_pairs(members: DataFrame, percent: int, best: bool) -> DataFrame:
+    """A round's pairs from (band, key, id, comp, n, sig, bi, bj, side), dealt by bucket and pair of blocks."""
     share = percent / 100
     least = share - 4 * math.sqrt(share * (1 - share) / (BANDS * ROWS))
     names = ["key", "bi", "bj"]
@@ -133,17 +141,42 @@ def bucket_pairs(members: DataFrame, percent: int) -> DataFrame:
             group = pdf[names].to_numpy()
             cuts = np.flatnonzero((group[1:] != group[:-1]).any(axis=1)) + 1
             edges = [0, *cuts.tolist()]
-            out = [_block_pairs(pdf.iloc[a:b], least, percent) for a, b in zip(edges, edges[1:], strict=False) if b - a > 1]
+            out = [_block_pairs(pdf.iloc[a:b], least, percent, best) for a, b in zip(edges, edges[1:], strict=False) if b - a > 1]
             if out:
                 yield pd.concat(out, ignore_index=True)
             rest = pdf.iloc[edges[-1] :]
         if rest is not None and len(rest) > 1:
-            yield _block_pairs(rest, least, percent)
+            yield _block_pairs(rest, least, percent, best)
 
     kind = dict(members.dtypes)["id"]
     return members.repartition(*names).sortWithinPartitions(*names, "id").mapInPandas(of, f"u {kind}, v {kind}")
 
 
+def _unsettled(buckets: DataFrame, placed: DataFrame, classes: DataFrame) -> DataFrame:
+    """Members of buckets with more than one component, dealt into pairs of blocks."""
+    now = buckets.drop("hub").join(placed.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
+    open_ = now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
+    blocks = F.ceil(F.col("members") / BLOCK)
+    return (
+        now.join(open_, "key").join(classes.select("id", "n", "sig"), "id")
+        .withColumn("own", F.pmod(F.xxhash64("id"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+        .select("band", "key", "id", "comp", "n", "sig", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"),
+                F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"))
+    )
+
+
+def _joined(placed: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, component) once more links are in: components of components."""
+    lifted = (
+        links.join(placed.select(F.col("node").alias("u"), F.col("component").alias("cu")), "u", "left")
+        .join(placed.select(F.col("node").alias("v"), F.col("component").alias("cv")), "v", "left")
+        .select(F.coalesce("cu", "u").alias("u"), F.coalesce("cv", "v").alias("v"))
+    )
+    above = components(lifted)
+    moved = placed.join(above.select(F.col("node").alias("component"), F.col("component").alias("c")), "component", "left").select("node", F.coalesce("c", "component").alias("component"))
+    return moved.unionByName(above.join(placed.select("node"), "node", "left_anti"))
+
+
 def linked_components(docs: DataFrame, *, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row."""
     sigs, _ = staged(signatures(docs, words), "signatures")
@@ -156,31 +189,15 @@ def linked_components(docs: DataFrame, *, words: int = WORDS, percent: int = PER
     wanted = buckets.select("id").distinct()
     sets, _ = staged(shingle_sets(docs.join(wanted.withColumnRenamed("id", "doc_id").hint("shuffle_hash"), "doc_id", "left_semi"), words).dropDuplicates(["id", "n"]), "sets")
     star, _ = staged(confirmed(buckets.select(F.col("hub").alias("u"), F.col("id").alias("v")).where("u <> v").distinct(), sets, percent), "links")
-    first, _ = staged(components(star), "components")
-
-    # round two: buckets with members of more than one component
-    placed = buckets.drop("hub").join(first.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
-    mixed_ = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    blocks = F.ceil(F.col("members") / BLOCK)
-    dealt = (
-        placed.join(mixed_, "key").join(classes.select("id", "n", "sig"), "id")
-        .withColumn("own", F.pmod(F.xxhash64("id"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-        .select("band", "key", "id", "comp", "n", "sig", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"),
-                F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"))
-    )
-    more, _ = staged(confirmed(bucket_pairs(dealt, percent), sets, percent), "links")
-    named = first.withColumnRenamed("component", "c")
-    lifted = (
-        more.join(named.select(F.col("node").alias("u"), F.col("c").alias("cu")), "u", "left")
-        .join(named.select(F.col("node").alias("v"), F.col("c").alias("cv")), "v", "left")
-        .select(F.coalesce("cu", "u").alias("u"), F.coalesce("cv", "v").alias("v"))
-    )
-    second = components(lifted)
+    placed, _ = staged(components(star), "components")
+    for best in (True, False):
+        pairs = bucket_pairs(_unsettled(buckets, placed, classes), percent, best)
+        pairs = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+        more, _ = staged(confirmed(pairs, sets, percent), "links")
+        placed, _ = staged(_joined(placed, more), "components")
     final = (
-        classes.select("digest", "id").join(first.select(F.col("node").alias("id"), F.col("component").alias("c1")), "id", "left")
-        .withColumn("c1", F.coalesce("c1", "id"))
-        .join(second.select(F.col("node").alias("c1"), F.col("component").alias("c2")), "c1", "left")
-        .select("digest", F.coalesce("c2", "c1").alias("component_id"))
+        classes.select("digest", "id").join(placed.withColumnRenamed("node", "id"), "id", "left")
+        .select("digest", F.coalesce("component", "id").alias("component_id"))
     )
     linked = sigs.select("doc_id", "n", "digest").join(final, "digest", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
