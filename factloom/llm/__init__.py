@@ -4,7 +4,7 @@
 that SQL can express; nothing outside this subpackage imports it.
 """
 
-from factloom.llm import ann, exact_dedup, html_extract, line_dedup, mixing, near_dedup, quality, toxicity
+from factloom.llm import ann, exact_dedup, html_extract, line_dedup, mixing, near_dedup, quality, sentencepiece_viterbi, toxicity
 
 QUERIES = {
     "op2_quality": quality.op2_quality,
@@ -14,6 +14,7 @@ QUERIES = {
     "op6_nearest": ann.op6_nearest,
     "op7_near_dedup": near_dedup.op7_near_dedup,
     "op8_toxicity": toxicity.op8_toxicity,
+    "op9_sentencepiece": sentencepiece_viterbi.op9_sentencepiece,
     "op10_html_text": html_extract.op10_html_text,
 }
 ORACLES = {
