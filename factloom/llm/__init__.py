@@ -4,9 +4,10 @@
 that SQL can express; nothing outside this subpackage imports it.
 """
 
-from factloom.llm import ann, exact_dedup, html_extract, line_dedup, mixing, near_dedup, quality, sentencepiece_viterbi, toxicity
+from factloom.llm import ann, exact_dedup, html_extract, line_dedup, mixing, near_dedup, pii, quality, sentencepiece_viterbi, toxicity
 
 QUERIES = {
+    "op1_pii": pii.op1_pii,
     "op2_quality": quality.op2_quality,
     "op3_source_mix": mixing.op3_source_mix,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,

@@ -86,6 +86,24 @@ def mix(docs: DataFrame, *, weights=WEIGHTS, share: float = SHARE, cap: int = CA
     )
 
 
+def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+    r"""The mix itself, with the input's columns: each document once an epoch that takes it whole, and once cut after the last word taken.
+
+    n_chars, where there is one, follows a text that is cut; documents of which nothing is taken go.
+    """
+    carried = [c for c in docs.columns if c not in ("doc_id", "source")]
+    placed = mix(docs.select(*[F.col(c).alias(f"_{c}") for c in carried], "doc_id", "source", "text"), carry=[f"_{c}" for c in carried], **options)
+    copies = F.ceil(F.col("taken") / F.col("size")).cast("int")
+    each = placed.where("taken > 0").withColumn("nth", F.explode(F.sequence(F.lit(1), copies)))
+    words = F.least(F.col("size"), F.col("taken") - (F.col("nth") - 1) * F.col("size")).cast("int")
+    # pieces that end with a word each, so that white space stays as it is
+    pieces = F.split(F.col("_text"), r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])", -1)
+    cut = each.withColumn("text", F.when(words < F.col("size"), F.array_join(F.slice(pieces, F.lit(1), words), "")).otherwise(F.col("_text")))
+    if "n_chars" in carried:
+        cut = cut.withColumn("_n_chars", F.when(words < F.col("size"), F.length("text").cast("long")).otherwise(F.col("_n_chars")))
+    return cut.select(*[c if c in ("doc_id", "source", "text") else F.col(f"_{c}").alias(c) for c in docs.columns])
+
+
 def op3_source_mix(spark, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).drop("source")
 
