@@ -25,16 +25,21 @@ pieces; without them it reads as a space, as in the library). A null or empty te
 from __future__ import annotations
 
 import math
+import re
+from array import array
 from pathlib import Path
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.llm.shared import table
 
-MODEL, MARK, ZIPF, CACHE = "/opt/tokenizers/piece_bpe_32k.model", "▁", 10, 300_000
+MODEL, MARK, ZIPF, CACHE = "/opt/tokenizers/piece_bpe_32k.model", "▁", 10, 250_000
+#: Characters of a text, and rows of a table, that are worked on at a time.
+BLOCK, ROWS = 1 << 20, 256
+_BEFORE_WORD = re.compile("(?<! ) ")
 #: Stands for a word mark that the text itself holds; no text from a table has a lone surrogate.
 LITERAL = "\udfff"
 #: Scores are whole numbers of 1 / UNIT, so that sums do not depend on where a window starts; of equal paths the
@@ -150,77 +155,91 @@ class StreamingViterbi:
             out += self.feed(ch)
         return out + self.finish()
 
-
     def _encode_short(self, marked: str) -> list[int]:
         """The same search where all of it fits the window, from each boundary to those its pieces reach."""
         n, root, unknown, longest = len(marked), self.model["tree"], self.unknown, self.longest
-        best, back = [0] + [-(1 << 62)] * n, [(0, None)] * (n + 1)
+        best, starts, whats = [-(1 << 62)] * (n + 1), [0] * (n + 1), [None] * (n + 1)
+        best[0] = 0
         for start in range(n):
             here, below, end = best[start], root, start
             for ch in marked[start : start + longest]:
-                node = below.get(ch)
-                if node is None:
+                if ch not in below:
                     break
-                below, what, score = node
+                below, what, score = below[ch]
                 end += 1
                 if what is not None and here + score > best[end]:
-                    best[end], back[end] = here + score, (start, what)
+                    best[end], starts[end], whats[end] = here + score, start, what
             if here + unknown > best[start + 1]:
-                best[start + 1], back[start + 1] = here + unknown, (start, None)
-        self.window, self.back = marked, back
-        ids = self._path(n)
-        self.reset()
+                best[start + 1], starts[start + 1], whats[start + 1] = here + unknown, start, None
+        if None in whats[1:]:
+            self.window, self.back = marked, list(zip(starts, whats, strict=True))
+            ids = self._path(n)
+            self.reset()
+            return ids
+        ids = []
+        while n:
+            ids.append(whats[n])
+            n = starts[n]
+        return ids[::-1]
+
+
+class WordIds(dict):
+    """Word to its ids as bytes, searched for when missing; two generations of ``CACHE`` / 2 words, so that common ones stay."""
+
+    def __init__(self, search: StreamingViterbi):
+        self.search, self.older = search, {}
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.older.get(word)
+        if ids is None:
+            ids = array("i", self.search.encode(word.replace(" ", MARK))).tobytes()
+        if len(word) <= 64:
+            if len(self) >= CACHE // 2:
+                self.older = dict(self)
+                self.clear()
+            self[word] = ids
         return ids
 
 
 class Codec:
-    """Whole-text encoding and decoding with one model; equal words share a search, at most ``CACHE`` are kept."""
+    """Whole-text encoding and decoding with one model; equal words share a search."""
 
     def __init__(self, model: dict):
-        self.model, self.search, self.known = model, StreamingViterbi(model), {}
+        self.model = model
+        self.known = WordIds(StreamingViterbi(model))
+        #: No piece holds a mark after another character, nor a line break: every path has a boundary there.
+        lines = model["bytes"] and not any("\n" in p for p in model["pieces"])
+        self.word = re.compile(r"\n| *[^ \n]+| +" if lines else r" *[^ ]+| +")
+        # a one-byte character is whole on its own
+        self.plain = [model["plain"].get(i, chr(int(n[3:5], 16)) if k == 6 and int(n[3:5], 16) < 128 else None)
+                      for i, (n, k) in enumerate(zip(model["names"], model["kinds"], strict=True))]
 
     def encode(self, text: str | None) -> np.ndarray:
         if not text:
             return np.zeros(0, np.int32)
         if MARK in text and self.model["bytes"]:
             text = text.replace(MARK, LITERAL)
-        marked = (MARK if self.model["prefix"] else "") + text.replace(" ", MARK)
+        text = " " + text if self.model["prefix"] else text
         if self.model["inside"]:
-            return np.array(self.search.encode(marked), np.int32)
-        out: list[int] = []
-        known = self.known
-        for word in self._words(marked):
-            ids = known.get(word)
-            if ids is None:
-                ids = self.search.encode(word)
-                if len(word) <= 64:
-                    if len(known) >= CACHE:
-                        known.clear()
-                    known[word] = ids
-            out += ids
-        return np.array(out, np.int32)
-
-    @staticmethod
-    def _words(marked: str):
-        """Cuts before each run of marks: no piece holds a mark after another character, so every path has a boundary there."""
-        parts = marked.split(MARK)
-        if parts[0]:
-            yield parts[0]
-        run = 0
-        for p in parts[1:]:
-            run += 1
-            if p:
-                yield MARK * run + p
-                run = 0
-        if run:
-            yield MARK * run
+            return np.array(self.known.search.encode(text.replace(" ", MARK)), np.int32)
+        found, at = [], 0
+        while at < len(text):
+            cut = _BEFORE_WORD.search(text, at + BLOCK)
+            end = cut.start() if cut else len(text)
+            found.append(b"".join(map(self.known.__getitem__, self.word.findall(text, at, end))))
+            at = end
+        return np.frombuffer(b"".join(found), np.int32)
 
     def decode(self, ids) -> str:
+        ids = ids.tolist() if isinstance(ids, np.ndarray) else ids
+        try:
+            text = "".join(map(self.plain.__getitem__, ids))
+        except TypeError:
+            text = self._decode_each(ids)
+        return text[1:] if self.model["prefix"] and text.startswith(" ") else text
+
+    def _decode_each(self, ids) -> str:
         names, kinds = self.model["names"], self.model["kinds"]
-        plain = self.model["plain"]
-        if all(map(plain.__contains__, ids)):
-            text = "".join(map(plain.__getitem__, ids))
-            return text[1:] if self.model["prefix"] and text.startswith(" ") else text
         out, pending = [], bytearray()
         for i in ids:
             if kinds[i] == 6:
@@ -232,8 +251,7 @@ class Codec:
             out.append(names[i].replace(MARK, " ") if kinds[i] in (1, 4) else " ⁇ " if kinds[i] == 2 else "")
         if pending:
             out.append(pending.decode("utf-8", "surrogatepass"))
-        text = "".join(out)
-        return text[1:] if self.model["prefix"] and text.startswith(" ") else text
+        return "".join(out)
 
 
 def encode_documents(docs: DataFrame, model_path: str = MODEL, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -243,13 +261,20 @@ def encode_documents(docs: DataFrame, model_path: str = MODEL, keep: tuple[str,
 
     def of(batches):
         codec = Codec(shared.value)
-        for pdf in batches:
-            ids = [codec.encode(t) for t in pdf["text"]]
-            same = [codec.decode(i.tolist()) == (t or "") for i, t in zip(ids, pdf["text"], strict=True)]
-            yield pd.DataFrame({c: pdf[c] for c in keep} | {"ids": ids, "n_tokens": [len(i) for i in ids], "round_trip": same})
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                texts = part.column("text").to_pylist()
+                ids = [codec.encode(t) for t in texts]
+                same = [codec.decode(i) == (t or "") for i, t in zip(ids, texts, strict=True)]
+                sizes = np.array([len(i) for i in ids], np.int64)
+                lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), np.concatenate(ids))
+                yield pa.RecordBatch.from_arrays(
+                    [*(part.column(c) for c in keep), lists, pa.array(sizes), pa.array(same)], [*keep, "ids", "n_tokens", "round_trip"]
+                )
 
     fields = ", ".join(f"{c} {dict(docs.dtypes)[c]}" for c in keep)
-    return docs.select(*keep, "text").mapInPandas(of, f"{fields}, ids array<int>, n_tokens long, round_trip boolean")
+    return docs.select(*keep, "text").mapInArrow(of, f"{fields}, ids array<int>, n_tokens long, round_trip boolean")
 
 
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
