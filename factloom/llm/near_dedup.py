@@ -10,7 +10,11 @@ is at least ``percent`` / 100, compared as whole numbers on the full sets.
    its smallest id: a line of pairs for a bucket, never all of them.
 3. Links are confirmed on the full sets, and components built by large-star and
    small-star. Buckets whose members are all in one component are finished.
-4. Rounds two and three look at the other buckets. Members are dealt into blocks
+4. Rounds two and three look at the other buckets. Shingles that one open member
+   alone has can be shared with nobody; a member or pair whose other shingles are
+   too few for the threshold is settled by that exact bound. So is a pair whose
+   bitmaps (one hashed bit a shingle) differ in more bits than the threshold lets
+   shingles differ. The rest are dealt into blocks
    of ``BLOCK``; a task holds two blocks and compares their minima. Round two
    hands on each member's likeliest partner in another component, one a member
    and task; nearly all remaining links are found by it. Round three, over the
@@ -43,7 +47,7 @@ from factloom.llm.hashing import shingle_set
 from factloom.llm.shared import staged, table
 
 WORDS, PERCENT = 5, 80
-BANDS, ROWS, BLOCK = 32, 5, 512
+BANDS, ROWS, BLOCK, BITS = 32, 5, 512, 4096
 _RNG = np.random.default_rng(20_240_229)
 _A = (_RNG.integers(0, 2**31, BANDS * ROWS, dtype=np.int64).astype(np.uint32) << np.uint32(1)) | np.uint32(1)
 _B = _RNG.integers(0, 2**32, BANDS * ROWS, dtype=np.int64).astype(np.uint32)
@@ -104,7 +108,8 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def _block_pairs(rows: pd.DataFrame, least: float, percent: int, best: bool) -> pd.DataFrame:
     """Pairs of one bucket's two blocks: of different components, near the threshold, first met in this band; or the best of each row."""
     sig = np.stack([np.frombuffer(s, np.uint32) for s in rows["sig"]])
-    ids, comp, n, band = rows["id"].to_numpy(), rows["comp"].to_numpy(), rows["n"].to_numpy(), int(rows["band"].iloc[0])
+    ids, comp, n, m, band = *(rows[c].to_numpy() for c in ("id", "comp", "n", "m")), int(rows["band"].iloc[0])
+    bits = np.stack([np.frombuffer(s, np.uint64) for s in rows["bits"]])
     left = np.flatnonzero(rows["side"].to_numpy() != 1)
     right = np.flatnonzero(rows["side"].to_numpy() != 0)
     us, vs = [], []
@@ -117,6 +122,10 @@ def _block_pairs(rows: pd.DataFrame, least: float, percent: int, best: bool) ->
         same = sig[j] == sig[i]
         agree = same.sum(axis=1)
         ok = (agree >= least * sig.shape[1]) & (n[j] * 100 >= n[i] * percent) & (n[i] * 100 >= n[j] * percent)
+        ok &= np.minimum(m[i], m[j]) * (100 + percent) >= (n[i] + n[j]) * percent  # what both have in common is at most the lesser m
+        near = np.flatnonzero(ok)
+        own, other = np.bitwise_count(bits[i] & ~bits[j[near]]).sum(axis=1), np.bitwise_count(bits[j[near]] & ~bits[i]).sum(axis=1)
+        ok[near] = np.minimum(n[i] - own, n[j[near]] - other) * (100 + percent) >= (n[i] + n[j[near]]) * percent
         if best and ok.any():
             likeliest = int(np.argmax(np.where(ok, agree, -1)))
             ok[:] = False
@@ -129,7 +138,7 @@ def _block_pairs(rows: pd.DataFrame, least: float, percent: int, best: bool) ->
 
 
 def bucket_pairs(members: DataFrame, percent: int, best: bool) -> DataFrame:
-    """A round's pairs from (band, key, id, comp, n, sig, bi, bj, side), dealt by bucket and pair of blocks."""
+    """A round's pairs from (band, key, id, comp, n, m, sig, bits, bi, bj, side), dealt by bucket and pair of blocks."""
     share = percent / 100
     least = share - 4 * math.sqrt(share * (1 - share) / (BANDS * ROWS))
     names = ["key", "bi", "bj"]
@@ -152,15 +161,52 @@ def bucket_pairs(members: DataFrame, percent: int, best: bool) -> DataFrame:
     return members.repartition(*names).sortWithinPartitions(*names, "id").mapInPandas(of, f"u {kind}, v {kind}")
 
 
-def _unsettled(buckets: DataFrame, placed: DataFrame, classes: DataFrame) -> DataFrame:
-    """Members of buckets with more than one component, dealt into pairs of blocks."""
-    now = buckets.drop("hub").join(placed.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
+def _placed_members(buckets: DataFrame, placed: DataFrame) -> DataFrame:
+    """(band, key, id, n, comp) of the members of buckets with more than one component."""
+    now = buckets.select("band", "key", "id", "n").join(placed.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
     open_ = now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
+    return now.join(open_, "key")
+
+
+def lone_shingles(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """(id, lone): how many of a member's shingles no other member has; ids without any are left out."""
+    each = sets.join(members.select("id").distinct().hint("shuffle_hash"), "id", "left_semi").select("id", F.explode("hashes").alias("h"))
+    return (
+        each.groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("id")).where("c = 1")
+        .groupBy("id").agg(F.count(F.lit(1)).alias("lone"))
+    )
+
+
+def bitmaps(sets: DataFrame) -> DataFrame:
+    """(id, bits): a bitmap of BITS bits with the bit of each shingle set."""
+
+    def of(batches):
+        for pdf in batches:
+            out = []
+            for h in pdf["hashes"]:
+                marks = np.zeros(BITS, np.uint8)
+                marks[np.asarray(h, np.int64).view(np.uint64) % np.uint64(BITS)] = 1
+                out.append(np.packbits(marks).tobytes())
+            yield pd.DataFrame({"id": pdf["id"], "bits": out})
+
+    return sets.select("id", "hashes").mapInPandas(of, f"id {dict(sets.dtypes)['id']}, bits binary")
+
+
+def _unsettled(members: DataFrame, lone: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Members that may yet have a link to another component of their bucket, dealt into pairs of blocks."""
+    known = members.join(lone, "id", "left").withColumn("m", F.col("n") - F.coalesce("lone", F.lit(0))).drop("lone")
+    least = known.groupBy("key").agg(F.min("n").alias("least_n"))
+    partner = F.greatest(F.col("least_n") * 100, F.col("n") * percent)
+    able = known.join(least, "key").where(F.col("m") * (100 + percent) * 100 >= (F.col("n") * 100 + partner) * percent).drop("least_n")
+    open_ = able.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("members")).where("lo <> hi").drop("lo", "hi")
     blocks = F.ceil(F.col("members") / BLOCK)
+    able, _ = staged(able.join(open_, "key"), "able")
+    ids = able.select("id").distinct().hint("shuffle_hash")
+    marks = bitmaps(sets.join(ids, "id", "left_semi"))
     return (
-        now.join(open_, "key").join(classes.select("id", "n", "sig"), "id")
+        able.join(classes.select("id", "sig").join(ids, "id", "left_semi").join(marks, "id"), "id")
         .withColumn("own", F.pmod(F.xxhash64("id"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-        .select("band", "key", "id", "comp", "n", "sig", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"),
+        .select("band", "key", "id", "comp", "n", "m", "sig", "bits", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"),
                 F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"))
     )
 
@@ -181,7 +227,7 @@ def linked_components(docs: DataFrame, *, words: int = WORDS, percent: int = PER
     """(doc_id, n_shingles, component_id, kept) of every row."""
     sigs, _ = staged(signatures(docs, words), "signatures")
     classes, _ = staged(sigs.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("sig").alias("sig")), "classes")
-    bands = classes.select("id", F.posexplode(F.expr(
+    bands = classes.select("id", "n", F.posexplode(F.expr(
         f"transform(sequence(0, {BANDS - 1}), i -> xxhash64(i, substring(sig, i * {4 * ROWS} + 1, {4 * ROWS})))"
     )).alias("band", "key"))
     shared = bands.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("id").alias("hub")).where("members > 1")
@@ -190,8 +236,11 @@ def linked_components(docs: DataFrame, *, words: int = WORDS, percent: int = PER
     sets, _ = staged(shingle_sets(docs.join(wanted.withColumnRenamed("id", "doc_id").hint("shuffle_hash"), "doc_id", "left_semi"), words).dropDuplicates(["id", "n"]), "sets")
     star, _ = staged(confirmed(buckets.select(F.col("hub").alias("u"), F.col("id").alias("v")).where("u <> v").distinct(), sets, percent), "links")
     placed, _ = staged(components(star), "components")
+    lone = None
     for best in (True, False):
-        pairs = bucket_pairs(_unsettled(buckets, placed, classes), percent, best)
+        members, _ = staged(_placed_members(buckets, placed), "members")
+        lone = lone if lone is not None else staged(lone_shingles(members, sets), "lone")[0]
+        pairs = bucket_pairs(_unsettled(members, lone, classes, sets, percent), percent, best)
         pairs = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
         more, _ = staged(confirmed(pairs, sets, percent), "links")
         placed, _ = staged(_joined(placed, more), "components")
