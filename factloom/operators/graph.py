@@ -9,10 +9,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SEMANTIC = F.col("kind") != "contains"
 CONFIDENCES = ("PROVEN", "DERIVED", "INFERRED", "UNRESOLVED")
 
 
+def semantic() -> Column:
+    """Whether an edge is more than containment."""
+    return F.col("kind") != "contains"
+
+
 def kind_counts(rows: DataFrame) -> DataFrame:
     return rows.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
@@ -24,9 +28,9 @@ def totals(nodes: DataFrame, edges: DataFrame, evidence: DataFrame) -> DataFrame
 
 def endpoints(edges: DataFrame) -> DataFrame:
     """(id, kind, way) twice for each edge that is no containment; a loop counts at both ends."""
-    semantic = edges.where(SEMANTIC)
-    return semantic.select(F.col("src").alias("id"), "kind", F.lit("out").alias("way")).unionByName(
-        semantic.select(F.col("dst").alias("id"), "kind", F.lit("in").alias("way"))
+    told = edges.where(semantic())
+    return told.select(F.col("src").alias("id"), "kind", F.lit("out").alias("way")).unionByName(
+        told.select(F.col("dst").alias("id"), "kind", F.lit("in").alias("way"))
     )
 
 
@@ -77,7 +81,7 @@ def hub_files(nodes: DataFrame, edges: DataFrame, kinds: tuple[str, ...], k: int
     hubs = nodes.where(F.col("kind").isin(*kinds)).select(F.col("id").alias("hub"))
     files = nodes.where(F.col("kind") == "file").select(F.col("id").alias("file"), "source_path")
     tied = (
-        edges.where(SEMANTIC).select(F.col("dst").alias("hub"), F.col("src").alias("file"), "kind")
+        edges.where(semantic()).select(F.col("dst").alias("hub"), F.col("src").alias("file"), "kind")
         .join(hubs, "hub").join(files, "file").groupBy("hub", "file", "source_path")
         .agg(F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("reasons"))
     )
@@ -93,7 +97,7 @@ def missing_endpoints(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def without_evidence(edges: DataFrame) -> DataFrame:
-    return edges.where(SEMANTIC & (F.coalesce("evidence_id", F.lit("")) == "")).select("id", "kind", "src", "dst")
+    return edges.where(semantic() & (F.coalesce("evidence_id", F.lit("")) == "")).select("id", "kind", "src", "dst")
 
 
 def broken_evidence(edges: DataFrame, evidence: DataFrame) -> DataFrame:

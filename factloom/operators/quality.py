@@ -17,7 +17,7 @@ def extraction_results(files: DataFrame, nodes: DataFrame, edges: DataFrame) ->
     n = nodes.groupBy("path").agg(F.count(F.lit(1)).alias("node_count"), F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("node_kinds"))
     e = edges.groupBy("path").agg(
         F.count(F.lit(1)).alias("edge_count"), F.countDistinct("evidence_id").alias("evidence_count"),
-        F.sum(graph.SEMANTIC.cast("long")).alias("relationship_edge_count"), F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("edge_kinds"),
+        F.sum(graph.semantic().cast("long")).alias("relationship_edge_count"), F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("edge_kinds"),
     )
     counts = ["node_count", "edge_count", "evidence_count", "relationship_edge_count"]
     return files.join(n, "path", "left").join(e, "path", "left").fillna(0, counts).fillna("", ["node_kinds", "edge_kinds"])
@@ -45,7 +45,7 @@ def measures(files: DataFrame, nodes: DataFrame, edges: DataFrame, evidence: Dat
         count(fine & (F.col("node_count") == 0) & (F.col("relationship_edge_count") == 0)).alias("low_information"),
         F.coalesce(F.max(F.col("supported") & F.col("domain").isin("code", "test")), F.lit(False)).alias("code_like"),
     )
-    per_edge = edges.agg(count(graph.SEMANTIC).alias("semantic_edges"), count(graph.SEMANTIC & (F.coalesce("evidence_id", F.lit("")) == "")).alias("edge_evidence"))
+    per_edge = edges.agg(count(graph.semantic()).alias("semantic_edges"), count(graph.semantic() & (F.coalesce("evidence_id", F.lit("")) == "")).alias("edge_evidence"))
     lost = graph.missing_endpoints(edges, nodes).agg(F.count(F.lit(1)).alias("edge_endpoints"))
     broken = graph.broken_evidence(edges, evidence).agg(F.count(F.lit(1)).alias("evidence_references"))
     row = per_file.crossJoin(per_edge).crossJoin(lost).crossJoin(broken).withColumn("source_paths", F.lit(invalid_paths).cast("long"))  # one row each

@@ -25,7 +25,7 @@ def kept(df: DataFrame) -> DataFrame:
 
 def subgraph(nodes: DataFrame, edges: DataFrame, roots: DataFrame, *, depth: int = 1, direction: str = "out", confidence: tuple[str, ...] = (), containment: bool = False) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges met within ``depth`` steps of the roots (id); neighbours without a node row are passed through, not returned."""
-    usable = graph.with_confidence(edges if containment else edges.where(graph.SEMANTIC), confidence)
+    usable = graph.with_confidence(edges if containment else edges.where(graph.semantic()), confidence)
     hops = graph.adjacency(usable, direction)
     seen = frontier = kept(roots.select("id").distinct())
     met = None
@@ -47,7 +47,7 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """
     ids = nodes.select("id").distinct()
     links = (
-        edges.where(graph.SEMANTIC & (F.col("src") != F.col("dst")))
+        edges.where(graph.semantic() & (F.col("src") != F.col("dst")))
         .join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
         .select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct()
     )
