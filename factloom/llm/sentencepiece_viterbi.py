@@ -90,6 +90,7 @@ class StreamingViterbi:
 
     def reset(self) -> None:
         self.window = ""  # characters since the last committed boundary
+        self.due = 2 * self.longest  # the window's size at which a commit is tried
         self.best = [0]  # score of the best path to each boundary of the window
         self.back: list[tuple[int, object]] = [(0, None)]  # where that path's last piece starts, and what it is
 
@@ -105,7 +106,12 @@ class StreamingViterbi:
                     top, frm, what = score, start, piece[0]
         self.best.append(top)
         self.back.append((frm, what))
-        return self._commit() if end >= 2 * self.longest else []
+        if end < self.due:
+            return []
+        ids = self._commit()
+        # where the paths have not met yet, the next look is at twice the window: all looks together stay linear
+        self.due = max(2 * self.longest, 2 * len(self.window))
+        return ids
 
     def _commit(self) -> list[int]:
         """Ids up to the boundary in which all surviving paths meet; later pieces start in the last ``longest`` boundaries only."""
