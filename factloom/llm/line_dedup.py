@@ -39,7 +39,7 @@ def line_hashes(docs: DataFrame, *, min_chars: int = MIN_CHARS, batches: int = B
         docs.select("doc_id", F.xxhash64(text).alias("th"), F.split(ascii_lower(text), "\n", -1).alias("lines"))
         .select("doc_id", "th", F.expr(f"""
             array_sort(filter(
-              transform(lines, (line, i) -> named_struct('key', btrim(line, ' \\t\\n\\u000B\\f\\r'), 'pos', i)),
+              transform(lines, (line, i) -> named_struct('key', btrim(line, ' \\t\\n\\u000B\\u000C\\r'), 'pos', i)),
               x -> length(x.key) >= {int(min_chars)}))""").alias("found"))
         .select("doc_id", "th", F.expr("""
             inline(transform(found, (x, i) -> named_struct(

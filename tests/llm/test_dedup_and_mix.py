@@ -62,6 +62,16 @@ def test_line_dedup_equals_brute_force(spark):
         assert {r.doc_id: (r._n_lines, r.text) for r in got.collect()} == want
 
 
+def test_line_dedup_of_lines_at_form_feeds_and_the_letter_f(spark):
+    edged = ["f" + "x" * 18 + "F", "F" * 20, "a shared line with a form feed"]
+    around = lambda i: [f"\x0c{x}" if i % 2 else f"{x}\x0c\x0b" for x in edged]
+    apart = [f"{'f' * i}one key is not another{'F' * i}" for i in range(4)]
+    docs = [(i, "\n".join([*around(i), apart[i - 1]])) for i in range(1, 5)]
+    got = {r.doc_id: (r._n_lines, r.text) for r in line_dedup.without_lines(frame(spark, rows(*docs))).collect()}
+    assert got == _brute_lines(docs)
+    assert got[1] == (4, apart[0]) and got[4] == (4, docs[3][1])
+
+
 def test_line_dedup_of_odd_rows(spark):
     got = line_dedup.without_lines(odd(spark))
     assert got.count() == 12 and {r._n_lines for r in got.where("doc_id = 2 OR doc_id = 3").collect()} == {1}
