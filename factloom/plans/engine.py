@@ -228,7 +228,7 @@ def refresh(spark: SparkSession, output: str | Path) -> dict:
 
 
 def status(spark: SparkSession, output: str | Path) -> dict:
-    """Freshness of a bundle from names, sizes and times; no content is read."""
+    """Freshness of a bundle from names, sizes and times, and all paths that differ; no content is read."""
     out = Path(output).resolve()
     kept = manifest_of(out)
     target = Path(kept["target"])
@@ -246,7 +246,7 @@ def status(spark: SparkSession, output: str | Path) -> dict:
         moved = not path.is_file() or [path.stat().st_size, path.stat().st_mtime_ns] != kept["config_stamp"]
     diff = traverse.kept(freshness.stat_diff(table(spark, out, "files"), disk.inventory(spark, now)))
     row = freshness.freshness(diff, config_changed=moved).first()
-    paths = {s: [r["path"] for r in diff.where(F.col("state") == s).orderBy("path").limit(1_000).collect()] for s in ("added", "deleted", "changed")}
+    paths = {s: [r["path"] for r in diff.where(F.col("state") == s).select("path").orderBy("path").toLocalIterator()] for s in ("added", "deleted", "changed")}
     return said | {"freshness": row["freshness"], "config_changed": moved, "counts": {s: row[s] for s in paths}, **paths}
 
 

@@ -124,6 +124,15 @@ def test_refresh_reuses_what_did_not_change(spark, tmp_path):
     assert engine.status(spark, out)["freshness"] == "building"
 
 
+def test_status_names_every_path(spark, tmp_path):
+    target, out = tree(tmp_path / "t", {"a.md": "# A\n"}), tmp_path / "o"
+    engine.scan(spark, target, out)
+    new = {f"n/{i:04}.md": "x" for i in range(1_005)}
+    tree(target, new)
+    found = engine.status(spark, out)
+    assert found["added"] == sorted(new) and found["counts"] == {"added": 1_005, "deleted": 0, "changed": 0}
+
+
 def test_quality_of_odd_collections(spark, tmp_path):
     partial = engine.scan(spark, tree(tmp_path / "p", {"mystery.blob": "x"}), tmp_path / "po")
     assert partial["quality"]["status"] == "partial"
