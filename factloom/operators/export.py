@@ -89,6 +89,23 @@ def ranked_page(title: str, rows: DataFrame, by: str) -> DataFrame:
     return rows.agg(F.lit(f"Dashboards/{title}").alias("note"), F.concat(F.lit(f"# {title}\n\n"), body, F.lit("\n")).alias("text"))
 
 
+def hub_page(title: str, rows: DataFrame, details: DataFrame, paths: DataFrame) -> DataFrame:
+    """(note, text) of a dashboard of all hubs of a kind: the ranked hubs, then each with its files (graph.hub_details)."""
+    c = F.col
+    of = details.join(paths.select(c("id").alias("file"), c("note").alias("file_note")), "file")
+    file = F.concat(F.lit("- [["), "file_note", F.lit("|"), "source_path", F.lit("]] ("), "reasons", F.lit("; "), c("degree").cast("string"), F.lit(" semantic edges)"))
+    files = of.groupBy(c("hub").alias("id")).agg(
+        F.max("n_files").alias("n_files"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", file.alias("line")))), lambda x: x["line"]), "\n").alias("files")
+    )
+    link = F.concat(F.lit("[["), "note", F.lit("|"), F.coalesce("label", "id"), F.lit("]] ("))
+    hub = F.concat(F.lit("- "), link, c("n").cast("string"), F.lit(" files)"))
+    more = F.concat(F.lit("### "), link, F.coalesce("n_files", F.lit(0)).cast("string"), F.lit(" linked files)\n\n"), F.coalesce("files", F.lit("- No linked files")))
+    each = rows.join(files, "id", "left").agg(F.array_sort(F.collect_list(F.struct("kind", "rank", hub.alias("hub"), more.alias("more")))).alias("l"))
+    body = lambda name, sep: F.when(F.size("l") == 0, "- None").otherwise(F.array_join(F.transform("l", lambda x: x[name]), sep))
+    text = F.concat(F.lit(f"# {title}\n\n"), body("hub", "\n"), F.lit("\n\n## Top Hubs With Files\n\n"), body("more", "\n\n"), F.lit("\n"))
+    return each.select(F.lit(f"Dashboards/{title}").alias("note"), text.alias("text"))
+
+
 def index_pages(nodes: DataFrame, paths: DataFrame) -> DataFrame:
     """(note, text) of all indexes, the one of other kinds included."""
     of = F.array(*[F.when(F.col("kind").isin(*kinds), title) for title, kinds in INDEXES.items()])

@@ -52,11 +52,12 @@ def linked_files(edges: DataFrame) -> DataFrame:
     return edges.where(F.col("kind").isin("belongs_to", "categorized_as")).groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def top_per_kind(nodes: DataFrame, counts: DataFrame, kinds: tuple[str, ...], k: int) -> DataFrame:
-    """The k nodes of each kind with the most, ties by id; nodes without any count 0."""
+def top_per_kind(nodes: DataFrame, counts: DataFrame, kinds: tuple[str, ...], k: int | None) -> DataFrame:
+    """The k nodes of each kind with the most, or all, ties by id; nodes without any count 0."""
     ranked = nodes.where(F.col("kind").isin(*kinds)).join(counts, "id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     place = F.row_number().over(Window.partitionBy("kind").orderBy(F.col("n").desc(), "id"))
-    return ranked.withColumn("rank", place).where(F.col("rank") <= k).select("kind", "rank", "id", "label", "n")
+    placed = ranked.withColumn("rank", place)
+    return (placed if k is None else placed.where(F.col("rank") <= k)).select("kind", "rank", "id", "label", "n")
 
 
 def top_files(nodes: DataFrame, edges: DataFrame, k: int) -> DataFrame:
@@ -90,6 +91,22 @@ def hub_files(nodes: DataFrame, edges: DataFrame, kinds: tuple[str, ...], k: int
     return ranked.withColumn("rank", place).where(F.col("rank") <= k).select("hub", "rank", "source_path", "degree", "reasons")
 
 
+def hub_details(nodes: DataFrame, edges: DataFrame, kinds: tuple[str, ...], k: int) -> DataFrame:
+    """As hub_files, over the files that belong to a hub or are categorized as it; with their ids, how many a hub has, and how many edges of each kind tie them."""
+    hubs = nodes.where(F.col("kind").isin(*kinds)).select(F.col("id").alias("hub"))
+    files = nodes.where(F.col("kind") == "file").select(F.col("id").alias("file"), F.coalesce("source_path", "id").alias("source_path"))
+    tied = (
+        edges.where(F.col("kind").isin("belongs_to", "categorized_as")).select(F.col("dst").alias("hub"), F.col("src").alias("file"), "kind")
+        .join(hubs, "hub").join(files, "file").groupBy("hub", "file", "source_path", "kind").agg(F.count(F.lit(1)).alias("m"))
+        .groupBy("hub", "file", "source_path").agg(F.array_sort(F.collect_list(F.struct("kind", "m"))).alias("each"))
+    )
+    reasons = F.array_join(F.transform("each", lambda x: F.concat(x["kind"], F.lit(" x"), x["m"].cast("string"))), ", ")
+    ranked = tied.join(semantic_degree(edges).withColumnRenamed("id", "file"), "file")
+    place = F.row_number().over(Window.partitionBy("hub").orderBy(F.col("degree").desc(), "source_path"))
+    placed = ranked.withColumn("rank", place).where(F.col("rank") <= k)
+    return placed.join(tied.groupBy("hub").agg(F.count(F.lit(1)).alias("n_files")), "hub").select("hub", "n_files", "rank", "file", "source_path", "degree", reasons.alias("reasons"))
+
+
 def missing_endpoints(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     known = nodes.select("id").distinct()
     gone = [edges.join(known.withColumnRenamed("id", end), end, "left_anti").select("id", "kind", "src", "dst") for end in ("src", "dst")]

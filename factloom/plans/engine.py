@@ -299,7 +299,8 @@ def write_vault(nodes: DataFrame, edges: DataFrame, out: Path) -> None:
     rank = lambda kinds, k: graph.top_per_kind(nodes, graph.linked_files(edges), kinds, k).join(paths, "id")
     degree = graph.semantic_degree(edges).withColumnRenamed("degree", "n")
     pages = [export.notes(nodes, edges), export.index_pages(nodes, paths)]
-    pages += [export.ranked_page(t, rank(k, n), "files") for t, k, n in (("Architecture", HUBS, 8), ("Domains", ("domain",), 50), ("Roles", ("role",), 50), ("Features", ("feature",), 50), ("Layers", ("layer",), 50))]
+    pages.append(export.ranked_page("Architecture", rank(HUBS, 8), "files"))
+    pages += [export.hub_page(t, rank(k, None), graph.hub_details(nodes, edges, k, 8), paths) for t, k in (("Domains", ("domain",)), ("Roles", ("role",)), ("Features", ("feature",)), ("Layers", ("layer",)))]
     pages.append(export.ranked_page("Entrypoints", graph.top_per_kind(nodes, degree, ("file",), 24).join(paths, "id"), "semantic edges"))
     pages.append(export.ranked_page("Research", graph.top_per_kind(nodes, degree, ("concept", "claim", "reference"), 24).join(paths, "id"), "semantic edges"))
     pages.append(export.ranked_page("Graph Views", graph.top_per_kind(nodes, degree, (*HUBS, "module"), 8).join(paths, "id"), "semantic edges"))

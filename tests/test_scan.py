@@ -97,6 +97,23 @@ def test_verdicts_and_vault(spark, bundle):
     assert seen["warnings"] == [] and len(seen["important_files"]) == 3
 
 
+def test_vault_lists_every_hub_and_its_files(spark, tmp_path):
+    node = "id string, kind string, label string, source_path string, start_line int, attributes string"
+    files = [(f"file:{i:02}.ts", "file", f"{i:02}.ts", f"{i:02}.ts", None, None) for i in range(11)]
+    nodes = spark.createDataFrame(files + [(f"feature:{i:02}", "feature", f"F{i:02}", None, None, None) for i in range(61)], node)
+    ties = [(f"file:{i:02}.ts", "feature:07", "belongs_to") for i in range(11)] + [("file:09.ts", "feature:07", "categorized_as"), ("file:10.ts", "file:09.ts", "imports"), ("file:00.ts", "feature:07", "belongs_to")]
+    edges = spark.createDataFrame([(f"e{i}", *t, "DERIVED", None) for i, t in enumerate(ties)], "id string, src string, dst string, kind string, confidence string, evidence_id string")
+    engine.write_vault(nodes, edges, tmp_path)
+    top, more = (tmp_path / "vault/Dashboards/Features.md").read_text().split("\n\n## Top Hubs With Files\n\n")
+    assert [x for x in top.splitlines() if x.startswith("- ")][0].startswith("- [[Architecture/feature/F07|F07]] (13 files)") and top.count("\n- [[") == 61
+    hubs = more.split("### ")[1:]
+    assert len(hubs) == 61 and hubs[1] == "[[Architecture/feature/F00|F00]] (0 linked files)\n\n- No linked files\n\n"
+    first = hubs[0].strip().splitlines()
+    assert first[0] == "[[Architecture/feature/F07|F07]] (11 linked files)" and len(first) == 10
+    assert first[2:5] == ["- [[Files/09.ts|09.ts]] (belongs_to x1, categorized_as x1; 3 semantic edges)", "- [[Files/00.ts|00.ts]] (belongs_to x2; 2 semantic edges)", "- [[Files/10.ts|10.ts]] (belongs_to x1; 2 semantic edges)"]
+    assert "- None" in (tmp_path / "vault/Dashboards/Roles.md").read_text()
+
+
 def test_questions(spark, bundle):
     _, out, _ = bundle
     near = engine.query(spark, out, "feature:Billing", direction="in")
