@@ -11,6 +11,7 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factloom.functions.text import walk_key
 from factloom.operators import graph
 
 
@@ -40,6 +41,20 @@ def subgraph(nodes: DataFrame, edges: DataFrame, roots: DataFrame, *, depth: int
     return nodes.join(seen, "id", "left_semi"), found
 
 
+def walk_order(files: DataFrame, spread: int | None = None) -> DataFrame:
+    """(path, nth) of all files as a walk meets them: ranges of walk keys, sorted each, and the number of files in the ranges before."""
+    keyed = files.select("path", walk_key(F.col("path")).alias("_key"))
+    ranged = keyed.repartitionByRange(spread, "_key") if spread else keyed.repartitionByRange("_key")
+    placed = kept(ranged.sortWithinPartitions("_key").select("path", F.monotonically_increasing_id().alias("at")))
+    part, within = F.shiftright("at", 33), F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
+    before, starts = 0, []
+    for r in placed.groupBy(part.alias("part")).count().orderBy("part").collect():  # as many rows as ranges
+        starts.append((r["part"], before))
+        before += r["count"]
+    offsets = files.sparkSession.createDataFrame(starts, "part long, start long")
+    return placed.withColumn("part", part).join(offsets, "part").select("path", (F.col("start") + within + 1).alias("nth"))
+
+
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, component) of every node over edges that are no containment and have both ends; a component is named by its least id.
 

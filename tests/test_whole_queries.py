@@ -1,5 +1,6 @@
 from conftest import SMALL
 
+from factloom.operators import traverse
 from factloom.plans import catalog
 from factloom.sources.collections import collection
 
@@ -24,3 +25,19 @@ def test_components_of_all_edges(spark):
     sizes = [list(want.values()).count(c) for c in set(want.values())]
     row = catalog.QUERIES["component_summary_all"](spark, SMALL).first()
     assert (row.component_count, row.largest_component_size, row.singleton_count) == (len(sizes), max(sizes), sizes.count(1))
+
+
+def test_walk_order_of_the_whole_tree(spark):
+    files = collection(spark, SMALL, "files").select("path")
+
+    def key(path):
+        *above, name = path.split("/")
+        return [*(f"1{p}" for p in above), f"0{name}"]
+
+    want = {p: n for n, p in enumerate(sorted((r.path for r in files.collect()), key=key), 1)}
+    assert len({p.split("/")[0] for p in want}) > 2
+    for got in (catalog.QUERIES["walk_order_all"](spark, SMALL), traverse.walk_order(files, 7)):
+        assert {r.path: r.nth for r in got.collect()} == want
+    top = spark.createDataFrame([("b/a",), ("z",), ("a/x/y",), ("a/z",), ("a",)], "path string")
+    assert [r.path for r in traverse.walk_order(top, 3).orderBy("nth").collect()] == ["a", "z", "a/z", "a/x/y", "b/a"]
+    assert traverse.walk_order(top.limit(0)).count() == 0
