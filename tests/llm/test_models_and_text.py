@@ -138,54 +138,89 @@ def test_encoding_decodes_to_the_text(spark):
     assert sentencepiece_viterbi.encode_documents(empty(spark)).count() == 0
 
 
-def unigram():
-    """A small model with pieces across each other, bytes and an unknown."""
-    pieces = ["<unk>", "▁", "a", "b", "c", "ab", "abc", "bc", "▁a", "▁ab", "cab", "▁▁"] + [f"<0x{i:02X}>" for i in range(256)]
-    kinds = [2] + [1] * 11 + [6] * 256
-    scores = [0, -2, -3, -3.1, -3.2, -4, -4.5, -4.2, -3.5, -4.1, -5, -3.9] + [0] * 256
-    raw = {int(p[3:5], 16): i for i, p in enumerate(pieces) if kinds[i] == 6}
-    table = {p: (i, round(s * sentencepiece_viterbi.UNIT)) for i, (p, s) in enumerate(zip(pieces, scores, strict=True)) if kinds[i] == 1}
-    tree: dict = {}
-    for text in sorted(table):
-        below = tree
-        for ch in text[:-1]:
-            below = below.setdefault(ch, ({}, None, 0))[0]
-        below[text[-1]] = ({}, *table[text])
-    return {"pieces": table, "bytes": raw, "unknown": 0, "least": min(s for _, s in table.values()), "tree": tree, "prefix": True, "longest": 3, "inside": False,
-            "names": pieces, "kinds": kinds, "plain": {i: p.replace("▁", " ") for i, p in enumerate(pieces) if kinds[i] == 1}}
-
-
-def test_streaming_search_finds_the_best_path():
-    model = unigram()
+def listed(unit=1.0):
+    """A small model's pieces, across each other, with bytes and an unknown."""
+    texts = ["<unk>", "▁", "a", "b", "c", "ab", "abc", "bc", "▁a", "▁ab", "cab", "▁▁", "bca"]
+    scores = [0, -2, -3, -3.1, -3.2, -4, -4.5, -4.2, -3.5, -4.1, -5, -3.9, -4.4]
+    return [(t, s * unit, 2 if t == "<unk>" else 1) for t, s in zip(texts, scores, strict=True)] + [(f"<0x{i:02X}>", 0.0, 6) for i in range(256)]
+
+
+def library(found, path, merges):
+    """The library's own processor of a hand-written model."""
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    proto = pb.ModelProto()
+    for text, score, kind in found:
+        p = proto.pieces.add()
+        p.piece, p.score, p.type = text, score, kind
+    proto.trainer_spec.model_type, proto.trainer_spec.byte_fallback = 2 if merges else 1, True
+    proto.normalizer_spec.name, proto.normalizer_spec.add_dummy_prefix, proto.normalizer_spec.remove_extra_whitespaces, proto.normalizer_spec.escape_whitespaces = "identity", True, False, True
+    path.write_bytes(proto.SerializeToString())
+    return sentencepiece.SentencePieceProcessor(model_file=str(path))
+
+
+@pytest.mark.parametrize("merges", [False, True])
+def test_ids_equal_the_librarys_for_small_models(tmp_path, merges, monkeypatch):
+    lib = library(listed(), tmp_path / "m.model", merges)
+    model = sentencepiece_viterbi.read_model(str(tmp_path / "m.model"))
     rng = np.random.default_rng(4)
+    texts = ["".join(rng.choice(list("abc d\né"), n)) for n in (1, 2, 5, 60, 400, 3_000) for _ in range(12)] + ["abc" * 500, "bca" * 60 + " " + "cab" * 90]
+    want = [lib.encode(t) for t in texts]
+    for lane, block in ((128, 1 << 18), (3, 64)):
+        monkeypatch.setattr(sentencepiece_viterbi, "LANE", lane)
+        monkeypatch.setattr(sentencepiece_viterbi, "BLOCK", block)
+        codec = sentencepiece_viterbi.Codec(model)
+        assert [x.tolist() for x in codec.encode_all(texts)] == want
+        assert codec.search.fed > (0 if lane == 128 else 10_000)
+        assert [codec.decode(x) for x in want] == texts
+    search = sentencepiece_viterbi.StreamingViterbi(model)
+    for t, ids in zip(texts, want, strict=True):
+        marked = "▁" + t.replace(" ", "▁")
+        assert [i for ch in marked for i in search.feed(ch)] + search.finish() == ids == search.encode(marked)
+    assert search.fed == 2 * sum(len(t) + 1 for t in texts) and search.widest <= model["longest"]
+
+
+def test_ids_equal_the_librarys_on_the_table(spark):
+    import sentencepiece
+
+    lib = sentencepiece.SentencePieceProcessor(model_file=sentencepiece_viterbi.MODEL)
+    texts = [r.text or "" for r in shared.table(spark, SMALL, "documents").collect()] + ["日本語 ééé 🙂\x00", "a" * 3_000, "  two   gaps \n\n"]
+    got = {r.doc_id: r.ids for r in sentencepiece_viterbi.encode_documents(frame(spark, rows(*texts))).collect()}
+    want = lib.encode(texts)
+    assert [got[i] for i in range(1, len(texts) + 1)] == want
+    search = sentencepiece_viterbi.StreamingViterbi(sentencepiece_viterbi.read_model(sentencepiece_viterbi.MODEL))
+    some = sorted(range(len(texts)), key=lambda i: len(texts[i]))[:150]
+    assert [search.encode("▁" + texts[i].replace(" ", "▁")) for i in some if texts[i]] == [want[i] for i in some if texts[i]]
+    assert search.fed == sum(len(texts[i]) + 1 for i in some if texts[i]) and search.widest <= search.longest
+    by_id = {r.doc_id: (r.n_tokens, r.ids_sha256, r.round_trip) for r in llm.QUERIES["op9_sentencepiece"](spark, SMALL).collect()}
+    for r in shared.table(spark, SMALL, "documents").collect():
+        ids = lib.encode(r.text or "")
+        assert by_id[r.doc_id] == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), True)
+
+
+@pytest.mark.parametrize("merges", [False, True])
+def test_what_is_kept_of_a_text_is_bounded(merges):
+    model = sentencepiece_viterbi.model_of(listed(), merges=merges, prefix=True)
     search = sentencepiece_viterbi.StreamingViterbi(model)
-    for n in (1, 5, 60, 400):
-        text = "".join(rng.choice(list("abc▁"), n))
-        best = [0] + [-(1 << 62)] * n
-        for end in range(1, n + 1):
-            for start in range(max(0, end - 3), end):
-                if text[start:end] in model["pieces"]:
-                    best[end] = max(best[end], best[start] + model["pieces"][text[start:end]][1])
-        stream = [i for ch in text for i in search.feed(ch)] + search.finish()
-        for ids in (stream, search.encode(text)):
-            assert "".join(model["names"][i] for i in ids) == text
-            assert sum(model["pieces"][model["names"][i]][1] for i in ids) == best[n]
-
-
-def test_window_is_bounded():
-    search = sentencepiece_viterbi.StreamingViterbi(unigram())
     most = 0
-    for ch in "abcab" * 2_000:
+    for ch in "abcab" * 2_000 + "bca" * 2_000:
         search.feed(ch)
-        most = max(most, len(search.window))
-    assert most < 200
+        most = max(most, len(search.text))
+    assert search.widest <= model["longest"] and most < 100
 
 
-def test_word_cache_keeps_its_bound(monkeypatch):
-    monkeypatch.setattr(sentencepiece_viterbi, "CACHE", 8)
-    codec = sentencepiece_viterbi.Codec(unigram())
+def test_stretches_are_forgotten_and_hash_twins_are_mended(spark, monkeypatch):
+    monkeypatch.setattr(sentencepiece_viterbi, "STRETCHES", 8)
+    model = sentencepiece_viterbi.model_of(listed(), merges=False, prefix=True)
+    codec = sentencepiece_viterbi.Codec(model)
     text = " ".join("abc"[i % 3] * (i % 7 + 1) for i in range(200)) + "\nab é"
-    assert codec.decode(codec.encode(text)) == text and len(codec.known) <= 8
+    for _ in range(3):
+        assert codec.decode(codec.encode(text)) == text
+    codec.ids[:] = 2  # as if other stretches had the same hashes
+    assert codec.decode(codec.encode(text)) != text and codec.decode(codec.encode_all([text], share=False)[0]) == text
+    with pytest.raises(ValueError, match="ids"):
+        sentencepiece_viterbi.encode_documents(odd(spark).withColumn("ids", F.lit(1)), keep=("doc_id", "ids"))
 
 
 PAGE = """<!doctype html><html><head><title>T</title><script>var a = "<p>no</p>";</script><style>p{}</style></head><body>
