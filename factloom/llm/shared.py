@@ -7,6 +7,7 @@ shares, so a lost executor costs a reread and not the data.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -39,16 +40,22 @@ def word_array(c: Column) -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share; only where none is configured, one of our own (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if held.isDefined():
-            return held.get()
-        found = tempfile.mkdtemp(prefix="factloom-")
-        spark.sparkContext.setCheckpointDir(found)
-        found = spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    return found
+    """The folder all executors share. Where none is configured, a local master gets one of its own (tests); a cluster has none to give."""
+    if found := spark.conf.get("spark.checkpoint.dir", None):
+        return found
+    held = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if held.isDefined():
+        return held.get()
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir is not set: intermediate tables need a folder that all executors share")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="factloom-"))
+    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Names that no column of df has, one for each name given."""
+    tag = uuid.uuid4().hex[:12]
+    return [f"_{n}_{tag}" for n in names]
 
 
 def staged(df: DataFrame, label: str, partition_by: str | None = None) -> tuple[DataFrame, str]:

@@ -4,9 +4,10 @@ import re
 from collections import Counter, defaultdict
 
 import pytest
-from checks import same
+from checks import TABLES, same
 from conftest import SMALL
 from fixtures import WORDS, empty, frame, odd, rows
+from pyspark.sql import functions as F
 
 from factloom import llm
 from factloom.llm import components, exact_dedup, hashing, line_dedup, mixing, near_dedup
@@ -59,7 +60,7 @@ def test_line_dedup_equals_brute_force(spark):
     want = _brute_lines(docs)
     for batches, fanout in ((1, 2), (7, 3)):
         got = line_dedup.without_lines(frame(spark, rows(*docs)), batches=batches, fanout=fanout)
-        assert {r.doc_id: (r._n_lines, r.text) for r in got.collect()} == want
+        assert {r.doc_id: (r.n_lines, r.text) for r in got.collect()} == want
 
 
 def test_line_dedup_of_lines_at_form_feeds_and_the_letter_f(spark):
@@ -67,22 +68,43 @@ def test_line_dedup_of_lines_at_form_feeds_and_the_letter_f(spark):
     around = lambda i: [f"\x0c{x}" if i % 2 else f"{x}\x0c\x0b" for x in edged]
     apart = [f"{'f' * i}one key is not another{'F' * i}" for i in range(4)]
     docs = [(i, "\n".join([*around(i), apart[i - 1]])) for i in range(1, 5)]
-    got = {r.doc_id: (r._n_lines, r.text) for r in line_dedup.without_lines(frame(spark, rows(*docs))).collect()}
+    got = {r.doc_id: (r.n_lines, r.text) for r in line_dedup.without_lines(frame(spark, rows(*docs))).collect()}
     assert got == _brute_lines(docs)
     assert got[1] == (4, apart[0]) and got[4] == (4, docs[3][1])
 
 
 def test_line_dedup_of_odd_rows(spark):
     got = line_dedup.without_lines(odd(spark))
-    assert got.count() == 12 and {r._n_lines for r in got.where("doc_id = 2 OR doc_id = 3").collect()} == {1}
+    assert got.count() == 12 and {r.n_lines for r in got.where("doc_id = 2 OR doc_id = 3").collect()} == {1}
     assert line_dedup.without_lines(empty(spark)).count() == 0
+    clashing = odd(spark).selectExpr("*", "1 AS _id", "2 AS _gone", "3 AS _h", "4 AS _lines", "5 AS gone", "6 AS th", "7 AS last_doc")
+    assert line_dedup.without_lines(clashing).columns == [*clashing.columns, "n_lines", "n_dropped"]
+    assert {tuple(r) for r in line_dedup.without_lines(clashing).select("_id", "_gone", "_h", "_lines", "gone", "th", "last_doc").collect()} == {(1, 2, 3, 4, 5, 6, 7)}
+    with pytest.raises(ValueError, match="n_lines"):
+        line_dedup.without_lines(odd(spark).withColumn("N_lines", F.lit(1)))
+
+
+def test_line_dedup_counts_documents_not_rows(spark, tmp_path):
+    line = "A line that is long enough {}"
+    docs = [(1, line.format(1)), (1, line.format(1)), (2, line.format(1)), (3, line.format(2)), (3, line.format(2) + "\nmore"), (4, line.format(2)), (None, line.format(2)), (None, line.format(3)), (None, line.format(3)), (5, line.format(3)), (None, None)]
+    folder = str(tmp_path)
+    frame(spark, rows(*docs)).coalesce(1).write.parquet(folder + "/documents")
+    (part,) = (tmp_path / "documents").glob("*.parquet")
+    part.rename(tmp_path / "documents.parquet")
+    for t in TABLES:
+        if t != "documents":
+            (tmp_path / f"{t}.parquet").symlink_to(f"{SMALL}/{t}.parquet")
+    assert same(llm.QUERIES["op5_line_dedup"](spark, folder), llm.ORACLES["op5_line_dedup"], folder) == 11
+    dropped = Counter((r.doc_id, r.n_dropped) for r in llm.QUERIES["op5_line_dedup"](spark, folder).collect())
+    assert dropped == {(1, 0): 2, (2, 0): 1, (3, 1): 2, (4, 0): 1, (None, 1): 1, (None, 0): 3, (5, 0): 1}
 
 
 def test_new_lines_over_batches(spark):
     runs = line_dedup.LineRuns(spark, fanout=2)
     texts = [["a line that is long enough\nb line that is long enough"], ["b line that is long enough\nc line that is long enough"], ["c line that is long enough"], ["d line that is long enough"]]
     counts = [line_dedup.fresh_lines(runs, frame(spark, rows(*t, start=10 * i))).count() for i, t in enumerate(texts)]
-    assert counts == [2, 1, 0, 1] and [len(level) for level in runs.levels] == [0, 0, 1] and runs.keys().count() == 4
+    assert counts == [2, 1, 0, 1] and [len(level) for level in runs.levels] == [0, 0, 1] and [r.count() for r in runs.runs()] == [4]
+    runs.clear()
 
 
 def test_mix_of_odd_rows_and_budgets(spark):

@@ -172,7 +172,7 @@ def test_ids_equal_the_librarys_for_small_models(tmp_path, merges, monkeypatch):
         monkeypatch.setattr(sentencepiece_viterbi, "BLOCK", block)
         codec = sentencepiece_viterbi.Codec(model)
         assert [x.tolist() for x in codec.encode_all(texts)] == want
-        assert codec.search.fed > (0 if lane == 128 else 10_000)
+        assert codec.search.fed > 1_000
         assert [codec.decode(x) for x in want] == texts
     search = sentencepiece_viterbi.StreamingViterbi(model)
     for t, ids in zip(texts, want, strict=True):
