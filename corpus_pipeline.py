@@ -32,8 +32,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    cleaned = line_dedup.without_lines(docs)
-    length = F.when(F.col("_n_dropped") > 0, F.length("text")).otherwise(F.col("n_chars"))
+    n_lines, n_dropped = shared.unused(docs, "lines", "dropped")
+    cleaned = line_dedup.without_lines(docs, n_lines=n_lines, n_dropped=n_dropped)
+    length = F.when(F.col(n_dropped) > 0, F.length("text")).otherwise(F.col("n_chars"))
     return cleaned.withColumn("n_chars", length.cast("long")).select(*docs.columns)
 
 
