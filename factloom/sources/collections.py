@@ -23,10 +23,16 @@ SELECT CASE doc_id % 16
     WHEN 10 THEN 'tests/test_unit' || id || '.py' WHEN 11 THEN 'lib/feature' || k || '/core' || id || '.py'
     WHEN 12 THEN 'src/components/Card' || k || '/Card' || id || '.styles.ts' WHEN 13 THEN 'generated/schema' || id || '.ts'
     WHEN 14 THEN 'project' || id || '/README.md' ELSE 'src/navigation/AppRouter' || id || '.tsx' END AS path,
-  n_chars AS size, SHA256(text) AS sha256
+  n_chars AS size, SHA256(text) AS sha256, doc_id AS nth
 FROM (SELECT doc_id, CAST(doc_id AS VARCHAR(20)) AS id, CAST(doc_id % 37 AS VARCHAR(20)) AS k, coalesce(n_chars, 0) AS n_chars, coalesce(text, '') AS text FROM documents)
 """
 
+#: Each file imports the one after it, and most one further on.
+IMPORTS = f"""
+SELECT 'import-' || a.path || '-' || b.path AS id, a.path AS a, b.path AS b FROM ({FILES}) a JOIN ({FILES}) b ON b.nth = a.nth + 1
+UNION ALL SELECT 'import-' || a.path || '-' || b.path, a.path, b.path FROM ({FILES}) a JOIN ({FILES}) b ON b.nth = a.nth + 2 + a.nth % 97
+"""
+
 #: Notes, one file a brand: headings, links, references, footnotes, concepts, claims.
 NOTES = """
 SELECT 'notes/' || replace(p_brand, '#', '-') || '.md' AS path,
@@ -81,7 +87,7 @@ UNION ALL SELECT 'symbol:s/' || CAST(s_suppkey AS VARCHAR(20)), CASE WHEN s_supp
 UNION ALL SELECT 'feature:' || n_name, 'feature', n_name, CAST(NULL AS VARCHAR(20)) FROM nation
 UNION ALL SELECT 'area:' || r_name, 'area', r_name, CAST(NULL AS VARCHAR(20)) FROM region
 UNION ALL SELECT DISTINCT 'role:' || o_orderpriority, 'role', o_orderpriority, CAST(NULL AS VARCHAR(20)) FROM orders
-UNION ALL SELECT 'concept:' || CAST(c_custkey AS VARCHAR(20)), 'concept', c_name, CAST(NULL AS VARCHAR(20)) FROM customer WHERE c_custkey % 10 = 0
+UNION ALL SELECT 'concept:' || CAST(c_custkey AS VARCHAR(20)), 'concept', c_name, CAST(NULL AS VARCHAR(20)) FROM customer
 """
 _FACTS = """
 SELECT 'contains' AS kind, 'area:' || r_name AS src, 'feature:' || n_name AS dst, 'PROVEN' AS confidence, CAST(NULL AS VARCHAR(20)) AS locator FROM nation JOIN region ON n_regionkey = r_regionkey
@@ -91,7 +97,7 @@ UNION ALL SELECT CASE WHEN l_linenumber = 1 THEN 'calls' WHEN l_linenumber = 2 T
   CASE WHEN l_suppkey % 50 = 0 THEN CAST(NULL AS VARCHAR(20)) ELSE CAST(l_orderkey AS VARCHAR(20)) || '-' || CAST(l_linenumber AS VARCHAR(20)) || '-' || CAST(l_partkey AS VARCHAR(20)) || '-' || CAST(l_suppkey AS VARCHAR(20)) END FROM lineitem
 UNION ALL SELECT 'belongs_to', 'file:src/o/' || CAST(o_orderkey AS VARCHAR(20)) || '.ts', 'feature:' || n_name, 'INFERRED', 'b-' || CAST(o_orderkey AS VARCHAR(20)) FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
 UNION ALL SELECT 'categorized_as', 'file:src/o/' || CAST(o_orderkey AS VARCHAR(20)) || '.ts', 'role:' || o_orderpriority, 'INFERRED', 'c-' || CAST(o_orderkey AS VARCHAR(20)) FROM orders
-UNION ALL SELECT 'depends_on', 'file:src/o/' || CAST(o_orderkey AS VARCHAR(20)) || '.ts', 'file:src/o/' || CAST(o_orderkey - o_orderkey % 9 AS VARCHAR(20)) || '.ts', 'DERIVED', 'd-' || CAST(o_orderkey AS VARCHAR(20)) FROM orders WHERE o_orderkey % 7 = 0
+UNION ALL SELECT 'depends_on', 'file:src/o/' || CAST(o_orderkey AS VARCHAR(20)) || '.ts', 'file:src/o/' || CAST(o_orderkey - o_orderkey % 9 AS VARCHAR(20)) || '.ts', 'DERIVED', 'd-' || CAST(o_orderkey AS VARCHAR(20)) FROM orders
 """
 EDGES = f"""
 SELECT 'edge:' || substring(SHA256(kind || '|' || src || '|' || dst || '|' || confidence || '|' || coalesce('evidence:' || locator, '')), 1, 24) AS id,
@@ -105,7 +111,7 @@ BEFORE = "SELECT 'o/' || CAST(o_orderkey AS VARCHAR(20)) AS path, CAST(floor(o_t
 AFTER = "SELECT 'o/' || CAST(o_orderkey AS VARCHAR(20)) AS path, CAST(floor(o_totalprice) AS BIGINT) AS size, o_orderkey * 1000 + CASE WHEN o_orderkey % 21 = 0 THEN 1 ELSE 0 END AS mtime_ns, SHA256(o_orderpriority) AS sha256 FROM orders WHERE o_orderkey % 11 <> 0"
 
 COLLECTIONS = {
-    "files": FILES, "notes": NOTES, "logs": LOGS, "conf": CONF, "code": CODE, "components": COMPONENTS,
+    "files": FILES, "imports": IMPORTS, "notes": NOTES, "logs": LOGS, "conf": CONF, "code": CODE, "components": COMPONENTS,
     "nodes": NODES, "edges": EDGES, "evidence": EVIDENCE, "before": BEFORE, "after": AFTER,
 }
 

@@ -20,10 +20,10 @@ def test_components_of_all_edges(spark):
             a, b = sorted((top(e.src), top(e.dst)))
             up[b] = a
     want = {i: top(i) for i in ids}
-    got = {r.id: r.component for r in catalog.QUERIES["connected_components_all"](spark, SMALL).collect()}
+    got = {r.id: r.component for r in catalog.QUERIES["connected_components"](spark, SMALL).collect()}
     assert got == want
     sizes = [list(want.values()).count(c) for c in set(want.values())]
-    row = catalog.QUERIES["component_summary_all"](spark, SMALL).first()
+    row = catalog.QUERIES["component_summary"](spark, SMALL).first()
     assert (row.component_count, row.largest_component_size, row.singleton_count) == (len(sizes), max(sizes), sizes.count(1))
 
 
@@ -36,7 +36,7 @@ def test_walk_order_of_the_whole_tree(spark):
 
     want = {p: n for n, p in enumerate(sorted((r.path for r in files.collect()), key=key), 1)}
     assert len({p.split("/")[0] for p in want}) > 2
-    for got in (catalog.QUERIES["walk_order_all"](spark, SMALL), traverse.walk_order(files, 7)):
+    for got in (catalog.QUERIES["walk_order"](spark, SMALL), traverse.walk_order(files, 7)):
         assert {r.path: r.nth for r in got.collect()} == want
     top = spark.createDataFrame([("b/a",), ("z",), ("a/x/y",), ("a/z",), ("a",)], "path string")
     assert [r.path for r in traverse.walk_order(top, 3).orderBy("nth").collect()] == ["a", "z", "a/z", "a/x/y", "b/a"]
