@@ -4,10 +4,10 @@ Two documents are linked when the Jaccard similarity of their word-shingle sets
 is at least ``percent`` / 100, compared as whole numbers on the full sets.
 
 1. One scan gives each document its set's size and digest and ``BANDS * ROWS``
-   universal-hash minima. Documents with equal sets form a class, stood for by
-   its smallest doc_id; only representatives go on, so exact copies cost nothing.
+   universal-hash minima. Texts with equal sets form a class with a number of its
+   own; only classes go on, so exact copies cost nothing.
 2. A band's minima key a bucket. Round one compares each bucket's members with
-   its smallest id: a line of pairs for a bucket, never all of them.
+   its smallest number: a line of pairs for a bucket, never all of them.
 3. Links are confirmed on the full sets, and components built by large-star and
    small-star. Buckets whose members are all in one component are finished.
 4. Rounds two and three look at the other buckets. Shingles that one open member
@@ -22,14 +22,18 @@ is at least ``percent`` / 100, compared as whole numbers on the full sets.
    estimate is within four standard errors of the threshold, each pair only in
    the first band it shares. All are confirmed on the full sets, and the
    components joined up after each round.
+5. Classes that one doc_id holds are joined up too; a component is named by the
+   smallest doc_id in it. Tables of the steps before are removed.
 
 No partner, bucket or candidate is capped. What can be missed is what banding
 misses: a pair just at the threshold escapes all bands with a probability of
 3e-6 at 0.8 and 1e-8 at 0.85, and the estimate's margin with 3e-5 in round three.
 
 Nulls and odd rows: texts without words have an empty set and no links; a null
-doc_id takes no part, is kept and has a null component; rows that share a doc_id
-are one node. An empty table gives an empty result. Other columns are not read.
+doc_id takes no part, is kept and has a null component. Rows that share a doc_id
+are one node with the links of all their texts; each keeps its own set size. An
+empty table gives an empty result. Other columns are not read, and pass through
+``drop_near_copies`` whatever their names.
 """
 
 from __future__ import annotations
@@ -44,7 +48,7 @@ from pyspark.sql import functions as F
 
 from factloom.llm.components import components
 from factloom.llm.hashing import shingle_set
-from factloom.llm.shared import staged, table
+from factloom.llm.shared import discard, staged, table, unused
 
 WORDS, PERCENT = 5, 80
 BANDS, ROWS, BLOCK, BITS = 32, 5, 512, 4096
@@ -81,14 +85,17 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
-    """(id, n, hashes) of each document."""
+    """(doc_id, digest, n, hashes) of each document."""
 
     def of(batches):
         for pdf in batches:
             sets = [shingle_set(t, words) for t in pdf["text"]]
-            yield pd.DataFrame({"id": pdf["doc_id"], "n": [len(s) for s in sets], "hashes": [s.view(np.int64) for s in sets]})
+            yield pd.DataFrame({
+                "doc_id": pdf["doc_id"], "digest": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets],
+                "n": [len(s) for s in sets], "hashes": [s.view(np.int64) for s in sets],
+            })
 
-    return docs.select("doc_id", "text").mapInPandas(of, f"id {dict(docs.dtypes)['doc_id']}, n long, hashes array<bigint>")
+    return docs.select("doc_id", "text").mapInPandas(of, f"doc_id {dict(docs.dtypes)['doc_id']}, digest binary, n long, hashes array<bigint>")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -192,7 +199,7 @@ def bitmaps(sets: DataFrame) -> DataFrame:
     return sets.select("id", "hashes").mapInPandas(of, f"id {dict(sets.dtypes)['id']}, bits binary")
 
 
-def _unsettled(members: DataFrame, lone: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _unsettled(members: DataFrame, lone: DataFrame, classes: DataFrame, sets: DataFrame, percent: int, brief) -> DataFrame:
     """Members that may yet have a link to another component of their bucket, dealt into pairs of blocks."""
     known = members.join(lone, "id", "left").withColumn("m", F.col("n") - F.coalesce("lone", F.lit(0))).drop("lone")
     least = known.groupBy("key").agg(F.min("n").alias("least_n"))
@@ -200,7 +207,7 @@ def _unsettled(members: DataFrame, lone: DataFrame, classes: DataFrame, sets: Da
     able = known.join(least, "key").where(F.col("m") * (100 + percent) * 100 >= (F.col("n") * 100 + partner) * percent).drop("least_n")
     open_ = able.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("members")).where("lo <> hi").drop("lo", "hi")
     blocks = F.ceil(F.col("members") / BLOCK)
-    able, _ = staged(able.join(open_, "key"), "able")
+    able = brief(able.join(open_, "key"), "able")
     ids = able.select("id").distinct().hint("shuffle_hash")
     marks = bitmaps(sets.join(ids, "id", "left_semi"))
     return (
@@ -225,43 +232,61 @@ def _joined(placed: DataFrame, links: DataFrame) -> DataFrame:
 
 def linked_components(docs: DataFrame, *, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row."""
-    sigs, _ = staged(signatures(docs, words), "signatures")
-    classes, _ = staged(sigs.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("sig").alias("sig")), "classes")
+    spark, passing = docs.sparkSession, []
+
+    def brief(df: DataFrame, label: str) -> DataFrame:
+        """A table that is removed at the end."""
+        found, path = staged(df, label)
+        passing.append(path)
+        return found
+
+    sigs = brief(signatures(docs, words), "signatures")
+    classes = brief(
+        sigs.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("sig").alias("sig"))
+        .withColumn("id", F.monotonically_increasing_id()),
+        "classes",
+    )
     bands = classes.select("id", "n", F.posexplode(F.expr(
         f"transform(sequence(0, {BANDS - 1}), i -> xxhash64(i, substring(sig, i * {4 * ROWS} + 1, {4 * ROWS})))"
     )).alias("band", "key"))
     shared = bands.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("id").alias("hub")).where("members > 1")
-    buckets, _ = staged(bands.join(shared, "key"), "buckets")
-    wanted = buckets.select("id").distinct()
-    sets, _ = staged(shingle_sets(docs.join(wanted.withColumnRenamed("id", "doc_id").hint("shuffle_hash"), "doc_id", "left_semi"), words).dropDuplicates(["id", "n"]), "sets")
-    star, _ = staged(confirmed(buckets.select(F.col("hub").alias("u"), F.col("id").alias("v")).where("u <> v").distinct(), sets, percent), "links")
-    placed, _ = staged(components(star), "components")
+    buckets = brief(bands.join(shared, "key"), "buckets")
+    wanted = classes.join(buckets.select("id").distinct().hint("shuffle_hash"), "id", "left_semi").select("doc", "digest", "id")
+    some = docs.join(wanted.select(F.col("doc").alias("doc_id")).distinct().hint("shuffle_hash"), "doc_id", "left_semi")
+    sets = brief(shingle_sets(some, words).join(wanted.withColumnRenamed("doc", "doc_id"), ["doc_id", "digest"]).dropDuplicates(["id"]).select("id", "n", "hashes"), "sets")
+    star = brief(confirmed(buckets.select(F.col("hub").alias("u"), F.col("id").alias("v")).where("u <> v").distinct(), sets, percent), "links")
+    placed = brief(components(star), "components")
     lone = None
     for best in (True, False):
-        members, _ = staged(_placed_members(buckets, placed), "members")
-        lone = lone if lone is not None else staged(lone_shingles(members, sets), "lone")[0]
-        pairs = bucket_pairs(_unsettled(members, lone, classes, sets, percent), percent, best)
+        members = brief(_placed_members(buckets, placed), "members")
+        lone = lone if lone is not None else brief(lone_shingles(members, sets), "lone")
+        pairs = bucket_pairs(_unsettled(members, lone, classes, sets, percent, brief), percent, best)
         pairs = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-        more, _ = staged(confirmed(pairs, sets, percent), "links")
-        placed, _ = staged(_joined(placed, more), "components")
-    final = (
-        classes.select("digest", "id").join(placed.withColumnRenamed("node", "id"), "id", "left")
-        .select("digest", F.coalesce("component", "id").alias("component_id"))
+        more = brief(confirmed(pairs, sets, percent), "links")
+        placed = brief(_joined(placed, more), "components")
+    own = brief(sigs.join(classes.select("digest", "id"), "digest").select("doc_id", "id"), "own")
+    first = own.groupBy("doc_id").agg(F.min("id").alias("u"), F.max("id").alias("most")).where("u <> most")
+    placed = brief(_joined(placed, own.join(first, "doc_id").where("id <> u").select("u", F.col("id").alias("v")).distinct()), "components")
+    there = own.join(placed.withColumnRenamed("node", "id"), "id", "left").select("doc_id", F.coalesce("component", "id").alias("component"))
+    there = brief(there.distinct(), "there")
+    named = there.join(there.groupBy("component").agg(F.min("doc_id").alias("component_id")), "component").select("doc_id", "component_id")
+    linked, _ = staged(
+        sigs.select("doc_id", F.col("n").alias("n_shingles")).join(named, "doc_id", "left")
+        .select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")),
+        "linked",
     )
-    linked = sigs.select("doc_id", "n", "digest").join(final, "digest", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
-    )
+    discard(spark, *passing)
     nameless = docs.where(F.col("doc_id").isNull())
-    if nameless.limit(1).count():
-        loose = shingle_sets(nameless, words).select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("id").alias("component_id"))
-        linked = linked.unionByName(loose)
+    if not nameless.isEmpty():
+        linked = linked.unionByName(shingle_sets(nameless, words).select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
     return linked.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def drop_near_copies(docs: DataFrame, **options) -> DataFrame:
     """The input's rows that stay, with all their columns: one document of each component."""
-    gone = linked_components(docs, **options).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    (gone,) = unused(docs, "gone")
+    lost = linked_components(docs, **options).where(~F.col("kept")).select(F.col("doc_id").alias(gone)).distinct()
+    return docs.join(lost, F.col("doc_id") == F.col(gone), "left_anti")
 
 
 def op7_near_dedup(spark, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ from fixtures import WORDS, empty, frame, odd, rows
 from pyspark.sql import functions as F
 
 from factloom import llm
-from factloom.llm import components, exact_dedup, hashing, line_dedup, mixing, near_dedup
+from factloom.llm import components, exact_dedup, hashing, line_dedup, mixing, near_dedup, shared
 
 LOWER = {i: i + 32 for i in range(65, 91)}
 
@@ -179,6 +179,22 @@ def test_near_dedup_of_odd_rows(spark):
     assert near_dedup.drop_near_copies(odd(spark)).columns == odd(spark).columns
 
 
+def test_rows_that_share_a_doc_id_are_one_node(spark):
+    a, b = ([f"{x}{i}" for i in range(40)] for x in "ab")
+    near_a, near_b = " ".join(["other", *a[1:]]), " ".join([*b, "other"])
+    docs = [(5, " ".join(a)), (5, " ".join(b)), (7, near_b), (3, near_a), (5, ""), (9, "apart " * 9), (9, None), (3, near_a)]
+    got = sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_dedup.linked_components(frame(spark, rows(*docs)), words=3, percent=85).collect())
+    assert got == [(3, 38, 3, True), (3, 38, 3, True), (5, 0, 3, False), (5, 38, 3, False), (5, 38, 3, False), (7, 39, 3, False), (9, 0, 9, True), (9, 1, 9, True)]
+    clashing = frame(spark, rows(*docs)).selectExpr("*", "1 AS _gone", "2 AS gone", "3 AS id", "4 AS digest")
+    assert near_dedup.drop_near_copies(clashing, words=3, percent=85).columns == clashing.columns
+
+
+def test_query_equals_brute_force_on_the_table(spark):
+    docs = [(r.doc_id, r.text) for r in shared.table(spark, SMALL, "documents").collect()]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in llm.QUERIES["op7_near_dedup"](spark, SMALL).collect()}
+    assert got == _brute_components(docs, 3, 85)
+
+
 def test_blocks_compare_whole_buckets(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "BLOCK", 8)
     base = [f"w{i}" for i in range(120)]
