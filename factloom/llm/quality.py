@@ -15,7 +15,8 @@ their shares among the labels.
 
 Nulls and odd rows: null and empty texts score as the softmax of the bias
 alone; several labels of one doc_id count by their largest; null labels are left
-out. If either class has no row, every score is 0.5. Repeated rows agree.
+out. If either class has no row, every score is 0.5. Repeated rows agree. Other
+columns are not read.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from factloom.llm.hashing import IS_WORD
 from factloom.llm.shared import table
 from factloom.llm.toxicity import held_out, scorer
 
@@ -38,8 +40,8 @@ _POW: list[np.ndarray] = []
 
 def _word_hashes(b: np.ndarray) -> np.ndarray:
     """A 32-bit hash of each run of bytes that are no ASCII white space."""
-    word = (b != 32) & ((b < 9) | (b > 13))
-    edge = np.flatnonzero(np.diff(np.concatenate([[False], word, [False]]).astype(np.int8)))
+    word = IS_WORD[b]
+    edge = np.flatnonzero(np.diff(word.astype(np.int8), prepend=0, append=0))
     starts, ends = edge[::2], edge[1::2]
     if not len(starts):
         return np.zeros(0, np.uint32)
@@ -48,32 +50,38 @@ def _word_hashes(b: np.ndarray) -> np.ndarray:
         powers = np.full(max(256, longest), 0x01000193, np.uint32)
         powers[0] = 1
         _POW[:] = [np.cumprod(powers, dtype=np.uint32)]
-    at = np.arange(len(b)) - np.repeat(np.concatenate([[0], starts[1:]]), np.diff(np.concatenate([[0], starts[1:], [len(b)]])))
-    v = np.where(word, (b.astype(np.uint32) + 1) * _POW[0][np.clip(at, 0, len(_POW[0]) - 1)], np.uint32(0))
-    v[: starts[0]] = 0
-    first = np.concatenate([[0], starts[1:]])
-    base = np.add.reduceat(v, first, dtype=np.uint32) if starts[0] == 0 else np.add.reduceat(v[starts[0]:], starts - starts[0], dtype=np.uint32)
+    sizes = ends - starts
+    first = np.cumsum(sizes) - sizes
+    place = np.arange(int(sizes.sum())) - np.repeat(first, sizes)
+    base = np.add.reduceat((b[word].astype(np.uint32) + np.uint32(1)) * _POW[0][place], first, dtype=np.uint32)
     return base * np.uint32(0x9E3779B1)
 
 
 def token_rows(text: str | None):
-    """Yields the table rows of a text's words and character n-grams, in blocks."""
+    """Yields the table rows of a text's words and character n-grams, in blocks that end before white space: the same tokens at any size."""
     raw = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
     shift = np.uint32(32 - BITS)
-    for at in range(0, len(raw), BLOCK):
-        b = raw[at : at + BLOCK + 4]  # n-grams across the block's end; words there count in two parts
-        words = _word_hashes(raw[at : at + BLOCK]) >> shift
+    at, before = 0, -1  # the row of the last word so far
+    while at < len(raw):
+        end = min(at + BLOCK, len(raw))
+        while end < len(raw) and IS_WORD[raw[end]]:
+            gap = np.flatnonzero(~IS_WORD[raw[end : end + BLOCK]])
+            end = end + int(gap[0]) if len(gap) else min(end + BLOCK, len(raw))
+        words = _word_hashes(raw[at:end]) >> shift
         yield words
-        yield np.full(int((words[1:] == words[:-1]).sum()), REPEAT, np.uint32)
-        u = b.astype(np.uint32) + np.uint32(1)
+        if len(words):
+            again = int((words[1:] == words[:-1]).sum()) + int(words[0] == before)
+            before = int(words[-1])
+            yield np.full(again, REPEAT, np.uint32)
+        u = raw[at : end + 4].astype(np.uint32) + np.uint32(1)  # n-grams that start in the block
         h = u * _MULT[0]
         for n in range(2, 6):
-            if len(b) < n:
+            if len(u) < n:
                 break
             h = h[:-1] * np.uint32(0x01000193) + u[n - 1 :] * _MULT[n - 1]
             if n >= 3:
-                last = len(h) if at + BLOCK + 4 >= len(raw) else min(len(h), BLOCK)
-                yield (h[:last] * np.uint32(0x85EBCA6B)) >> shift
+                yield (h[: end - at] * np.uint32(0x85EBCA6B)) >> shift
+        at = end
 
 
 def counts(text: str | None) -> tuple[np.ndarray, np.ndarray]:

@@ -1,16 +1,19 @@
-"""Toxicity from class-conditional Kneser-Ney character models (operator 8).
+"""Toxicity from class-conditional Kneser-Ney models (operator 8).
 
 Texts become strings over 32 symbols (a-z with accents folded, one separator,
-digits, and four classes for other letters). Two interpolated Kneser-Ney models
-of order 4, one of the toxic and one of the ordinary training texts, differ in
-their highest order only: lower orders are continuation counts shared by both
-classes, so a rare expression gets the same backed-off probability on either
-side and adds next to nothing. All 32**4 conditional log-likelihood ratios fit in
-one table of 4 MB, whatever the corpus; it is all that is broadcast.
+digits, and four classes for other letters). There is a pair of interpolated
+Kneser-Ney models, toxic and ordinary, at two levels: of symbols, of order 4, and
+of words, hashed into 2**WORD_BITS cells. The two of a pair differ in their highest
+order only. Below it are continuation counts shared by both classes (different
+symbols before, different documents of a word), so a rare expression gets the same
+backed-off probability on either side and adds next to nothing; words in up to
+``WORD_DISCOUNT`` documents of a class have nothing else. All conditional
+log-likelihood ratios fit in one table of 5 MB, whatever the corpus; it is all
+that is broadcast.
 
 The counts cover every labelled training row: they are taken on the executors,
-one partial table a task, and added up in a shuffle by symbol group. A text's
-features are length-normalised: its mean ratio a symbol, and the ratios of its
+one partial table a task, and added up in a shuffle by cell. A text's features
+are length-normalised: its mean ratio a symbol and a word, and the ratios of its
 most toxic words set against what the text's length makes likely; a logistic
 regression, fitted on a fold of the training rows that the counts leave out
 (at most ``CALIBRATION`` rows, the lowest in hash order), turns them into a score.
@@ -18,7 +21,9 @@ regression, fitted on a fold of the training rows that the counts leave out
 Nulls and odd rows: null and empty texts have no symbols and get the
 intercept's score; several labels of one doc_id count as toxic if any says so;
 labels with null in either column are left out. If either class has no training
-row, every score is 0.5. Rows are scored one by one, so repeated rows agree.
+row, every score is 0.5. If the fold lacks a class (few labels), the regression is
+fitted on all training rows of which features can be had, within the same bound.
+Rows are scored one by one, so repeated rows agree; other columns are not read.
 """
 
 from __future__ import annotations
@@ -34,7 +39,7 @@ from pyspark.sql import types as T
 from factloom.llm.shared import table
 
 SYMBOLS, DISCOUNT, CALIBRATION, THRESHOLD = 32, 0.75, 20_000, 0.7
-HOT = 4.0
+HOT, WORD_BITS, WORD_DISCOUNT, FEATURES = 4.0, 18, 2.0, 9
 
 
 def _symbol_table() -> np.ndarray:
@@ -77,19 +82,44 @@ def grams(s: np.ndarray) -> np.ndarray:
     return (p[:-3] << 15) | (p[1:-2] << 10) | (p[2:-1] << 5) | p[3:]
 
 
+def word_starts(s: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.flatnonzero(s == 0)[:-1] + 1])
+
+
+def word_cells(s: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The cell of each word, by a polynomial hash of its symbols."""
+    sizes = np.diff(np.append(starts, len(s)))
+    place = np.arange(len(s)) - np.repeat(starts, sizes)
+    powers = np.full(max(int(sizes.max()), 1), 0x9E3779B97F4A7C15, np.uint64)
+    powers[0] = 1
+    h = np.add.reduceat(s.astype(np.uint64) * np.cumprod(powers, dtype=np.uint64)[place], starts)
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
+    return (h >> np.uint64(64 - WORD_BITS)).astype(np.int64)
+
+
 def _count_cells(batches):
-    """(cell, toxic, ordinary) of one task's rows (text, label)."""
-    seen = np.zeros((2, SYMBOLS**4), np.int64)
+    """(cell, toxic, ordinary) of one task's rows (text, label): symbols' cells, then words' with one count a document."""
+    seen = np.zeros((2, SYMBOLS**4 + (1 << WORD_BITS)), np.int64)
     for pdf in batches:
         for text, label in zip(pdf["text"], pdf["label"], strict=True):
-            cells, n = np.unique(grams(symbols(text)), return_counts=True)
-            seen[int(label), cells] += n
+            s = symbols(text)
+            if len(s):
+                cells, n = np.unique(grams(s), return_counts=True)
+                seen[int(label), cells] += n
+                seen[int(label), SYMBOLS**4 + np.unique(word_cells(s, word_starts(s)))] += 1
     cells = np.flatnonzero(seen.sum(axis=0))
     for at in range(0, len(cells), 50_000):
         c = cells[at : at + 50_000]
         yield pd.DataFrame({"cell": c.astype(np.int32), "toxic": seen[1, c], "ordinary": seen[0, c]})
 
 
+def word_ratios(toxic: np.ndarray, ordinary: np.ndarray) -> np.ndarray:
+    """log P(word | toxic) - log P(word | ordinary) of each cell; both back off to the documents of either class that hold it."""
+    shared = (toxic + ordinary + 0.5) / (toxic + ordinary + 0.5).sum()
+    p = [(np.maximum(c - WORD_DISCOUNT, 0) + np.minimum(c, WORD_DISCOUNT).sum() * shared) / max(c.sum(), 1) for c in (toxic, ordinary)]
+    return (np.log(p[0]) - np.log(p[1])).astype(np.float32)
+
+
 def ratio_table(toxic: np.ndarray, ordinary: np.ndarray) -> np.ndarray:
     """log P(symbol | 3 before, toxic) - log P(symbol | 3 before, ordinary) for each of the 32**4 cells."""
     k = SYMBOLS
@@ -115,13 +145,16 @@ def ratio_table(toxic: np.ndarray, ordinary: np.ndarray) -> np.ndarray:
 def features(text: str | None, ratios: np.ndarray) -> list[float]:
     s = symbols(text)
     if not len(s):
-        return [0.0] * 5
+        return [0.0] * FEATURES
     r = ratios[grams(s)]
-    starts = np.concatenate([[0], np.flatnonzero(s == 0)[:-1] + 1])
-    words = np.add.reduceat(r.astype(np.float64), starts)
-    top = np.sort(words)[-2:]
-    hot = np.maximum(words - HOT, 0).sum()
-    return [100 * float(r.mean()), float(top[-1]), float(top[0]), float(np.log1p(hot)), float(np.log(len(words)) * (len(words) > 0))]
+    starts = word_starts(s)
+    spelled = np.add.reduceat(r.astype(np.float64), starts)
+    whole = ratios[SYMBOLS**4 + word_cells(s, starts)].astype(np.float64)
+    out = [100 * float(r.mean())]
+    for words in (spelled, whole):
+        top = np.sort(words)[-2:]
+        out += [float(top[-1]), float(top[0]), float(np.log1p(np.maximum(words - HOT, 0).sum()))]
+    return [*out, float(whole.mean()), float(np.log(len(starts)))]
 
 
 def logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-2, steps: int = 60) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -148,7 +181,7 @@ class ToxicityModel:
     def score(self, texts) -> np.ndarray:
         if self.ratios is None:
             return np.full(len(texts), 0.5)
-        x = np.array([features(t, self.ratios) for t in texts], float).reshape(len(texts), 5)
+        x = np.array([features(t, self.ratios) for t in texts], float).reshape(len(texts), FEATURES)
         z = ((x - self.mean) / self.scale) @ self.weights[:-1] + self.weights[-1]
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
@@ -173,21 +206,23 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic") -> ToxicityMo
         .mapInPandas(_count_cells, "cell int, toxic long, ordinary long")
         .groupBy("cell").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")).toPandas()
     )
-    full = np.zeros((2, SYMBOLS**4))
+    full = np.zeros((2, SYMBOLS**4 + (1 << WORD_BITS)))
     full[0, counts["cell"]], full[1, counts["cell"]] = counts["toxic"], counts["ordinary"]
     if not full[0].any() or not full[1].any():
         return ToxicityModel()
-    ratios = ratio_table(full[0], full[1])
+    letters, words = full[:, : SYMBOLS**4], full[:, SYMBOLS**4 :]
+    ratios = np.concatenate([ratio_table(*letters), word_ratios(*words)])
     shared = docs.sparkSession.sparkContext.broadcast(ratios)
     as_features = F.pandas_udf(lambda t: pd.Series([features(x, shared.value) for x in t]), T.ArrayType(T.DoubleType()))
-    sample = (
-        texts.where(rank < fold).join(told_here, "doc_id").orderBy(rank, "doc_id").limit(CALIBRATION)
-        .select("label", as_features("text").alias("x")).collect()
-    )
-    y = np.array([r["label"] for r in sample], float)
+
+    def sample(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        found = rows.join(told_here, "doc_id").orderBy(rank, "doc_id").limit(CALIBRATION).select("label", as_features("text").alias("x")).collect()
+        return np.array([r["x"] for r in found], float), np.array([r["label"] for r in found], float)
+
+    x, y = sample(texts.where(rank < fold))
     if len(set(y.tolist())) < 2:
-        return ToxicityModel(ratios, np.array([0.5, 1, 0, 1, 0, -3.0]), np.zeros(5), np.array([10, 5, 5, 2, 1.0]))
-    return ToxicityModel(ratios, *logistic(np.array([r["x"] for r in sample], float), y))
+        x, y = sample(texts)
+    return ToxicityModel(ratios, *logistic(x, y)) if len(set(y.tolist())) == 2 else ToxicityModel()
 
 
 def scorer(spark, model):
