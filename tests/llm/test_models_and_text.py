@@ -68,6 +68,7 @@ def test_held_out_ranking(spark, name, label, least):
     area = (order[ones].sum() - ones.sum() * (ones.sum() + 1) / 2) / (ones.sum() * (~ones).sum())
     told = scored[scored["predicted"] == 1]
     assert area > least and (told[label] == 1).mean() > 0.9 and scored["score"].between(0, 1).all()
+    assert (told[label] == 1).sum() >= 0.8 * ones.sum()
 
 
 @pytest.mark.parametrize(("module", "column"), [(quality, "quality"), (toxicity, "toxic")])
@@ -89,6 +90,20 @@ def test_kneser_ney_probabilities_sum_to_one():
     assert toxicity.symbols("") .size == 0 and toxicity.symbols("Ab  é!").tolist() == [1, 2, 0, 5, 0]
 
 
+def test_tokens_of_a_text_do_not_depend_on_blocks(monkeypatch):
+    text = "  word word two  \n" * 30 + "end" * 9 + " fin fin"
+
+    def tally():
+        rows_ = np.concatenate(list(quality.token_rows(text)))
+        return np.unique(rows_, return_counts=True)
+
+    want = tally()
+    assert int(want[1][want[0] == quality.REPEAT].sum()) >= 31
+    for block in (5, 17, 64, 100):
+        monkeypatch.setattr(quality, "BLOCK", block)
+        assert all((a == b).all() for a, b in zip(tally(), want, strict=True))
+
+
 def _near(spark, vectors):
     return spark.createDataFrame([(i, v, "x", 1.0) for i, v in vectors], "vec_id long, embedding array<double>, v string, rank double")
 
@@ -239,3 +254,41 @@ def test_main_text_of_a_page(spark):
     assert html_extract.extract(pages.limit(0)).count() == 0
     deep = "<div>" * 20_000 + "<p>Deep text, and commas, that is long enough to score.</p>"
     assert html_extract.main_text(deep).startswith("Deep text")
+
+
+P = "<p>A paragraph of the article, with commas, and of a length that scores well.</p>"
+Q = "A paragraph of the article, with commas, and of a length that scores well."
+
+
+@pytest.mark.parametrize(("html", "want"), [
+    (f'<div class="content has-sidebar"><h1>One</h1>{P}{P}</div><div class="sidebar"><p>Other things to read, with commas, to the side.</p></div>', f"One\n\n{Q}\n\n{Q}"),
+    (f'<div class="page-with-nav">{P}<div class="nav"><p>Home, about us, contact us and more</p></div></div>', Q),
+    (f'<article class="post no-comments">{P}</article><div id="comments-area"><p>A reader comment, long enough to score, with commas.</p></div>', Q),
+    (f'<div id="skip-content">{P}{P}</div>', f"{Q}\n\n{Q}"),
+    (f"<article><header><h1>Title</h1><p>By someone, today, in a place far from here</p></header>{P}</article><footer>Foot</footer>", f"Title\n\n{Q}"),
+    (f'<div class="header">{P}</div>', Q),
+    (f'<div class="site-header"><p>A slogan of the site, long enough to score, with commas</p></div><div class="story">{P}</div><div class="ad-box2"><p>Buy now, buy here, buy all that you can buy.</p></div>', Q),
+    (f'<main><div class="cookie-notice">We use cookies, many of them, on this page here.</div>{P}<ul><li>first point</li><li>second</li></ul></main>', f"{Q}\n\nfirst point\n\nsecond"),
+    (f"<table><tr><td>{P}</td></tr></table></b></i></table>", Q),
+    (f"<div>{P}<p>short</p>{P}</div>tail", f"{Q}\n\nshort\n\n{Q}"),
+])
+def test_main_text_of_pages_with_names(html, want):
+    assert html_extract.main_text(f"<html><body>{html}</body></html>") == want
+
+
+def test_reading_a_page_stays_linear():
+    import time
+
+    def took(html):
+        began = time.perf_counter()
+        html_extract.Page(html)
+        return time.perf_counter() - began
+
+    for one in (lambda n: "<b>" * n + "</i>" * n, lambda n: "<b>" * n + "x<hr>" * n, lambda n: "<p><table>" + "<b>" * n + "<div>y</div>" * n, lambda n: "<div>" * n + "</p>" * n):
+        assert took(one(40_000)) < 12 * max(took(one(10_000)), 0.01)
+
+
+def test_pages_that_repeat_agree_and_keep_their_columns(spark):
+    pages = spark.createDataFrame([(1, "u", P, 5)] * 3 + [(None, None, P, None)], "page_id long, url string, html string, n_chars long")
+    got = html_extract.extract(pages)
+    assert got.columns == ["page_id", "url", "html", "n_chars", "text"] and {(r.text, r.n_chars) for r in got.collect()} == {(Q, len(Q))} and got.count() == 4
