@@ -1,26 +1,32 @@
 r"""PII spans by candidate gradient boosting (operator 1; DataFrame functions only).
 
 1. Generators propose overlapping spans with high recall: the four base patterns
-   (email, ip, card, phone), values assigned to a credential name, long tokens
-   that mix letters and digits, e-mail addresses written out, and grouped numbers.
-   A generator is one pass of the regular-expression engine that marks its
-   matches; a span's place follows from the lengths of the pieces.
-2. Each candidate has a code of eight binned features of its format (length,
-   share of digits, case, groups, checksum or octets) and context (a telling word
-   before it, the character before it). Codes have at most ``CODES`` values.
-3. Gradient-boosted trees are fitted to weak labels (valid base spans and known
-   credential formats against failed ones). All candidates count: they are
-   summed by code, so the trees see every document and the driver only
-   CODES * 2 * 2 sums at most, whatever the corpus.
+   (email, ip, card, phone), the values of all assignments, all long tokens, e-mail
+   addresses written out, and grouped numbers. A generator is one pass of the
+   regular-expression engine that marks its matches; a span's place follows from
+   the lengths of the pieces, summed in groups of ``GROUP``, so that a text with
+   very many matches stays linear.
+2. Base matches that pass their checks are base spans and always stay. Each other
+   candidate has a code of binned features of its format (generator, length, share
+   of digits, case, hex digits only, separators) and of the characters around it.
+   Codes have at most ``CODES`` values.
+3. Gradient-boosted trees are fitted to weak labels that are no features: whether
+   the words before the candidate name a credential, a contact or a telephone.
+   Ordinary long words, values of other keys and numbers without such a word are
+   the negatives. All candidates of all documents count: they are summed by code,
+   so the driver sees CODES * 2 * 2 sums at most, whatever the corpus.
 4. On the half of the documents that the trees did not see, a threshold a kind is
-   calibrated to a precision of ``PRECISION``; it selects the spans that are
-   added. Base spans that pass their checks always stay.
+   calibrated to a precision of ``PRECISION``; it selects the spans that are added,
+   with or without such words before them. Of added spans that overlap the better
+   scored stays, and none that overlaps a base span.
 
 Offsets are code points, end exclusive. No match can loop over a long run twice:
 runs are entered at their start only and repeat possessively.
 
 Nulls and odd rows: null is the empty text; an empty text has no spans; repeated
-rows agree; an empty table gives an empty result and no added spans.
+rows agree; an empty table gives an empty result and no added spans, and so do
+tables whose labels are all alike. Further columns are not read; they pass through
+``redact`` whatever their names.
 """
 
 from __future__ import annotations
@@ -30,35 +36,33 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.shared import staged, table, whole_text
+from factloom.llm.shared import staged, table, unused, whole_text
 
 CUT = "\x01"
 EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-ASSIGNED = r"(?i)(?<![a-z])(?:password|passwd|pwd|passphrase|secret|token|api[_-]?key|access[_-]?key|auth)\s{0,3}[=:]\s{0,3}[\x22']?[^\s\x22']{6,}+"
-LONG_TOKEN = r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]*+[0-9])(?=[0-9_-]*+[A-Za-z])[A-Za-z0-9_-]{16,}+"
+ASSIGNED = r"(?<![A-Za-z0-9_])([A-Za-z_][A-Za-z0-9_-]{0,40}+\s{0,3}[=:]\s{0,3}[\x22']?)([^\s\x22',;=:]{6,}+)"
+LONG_TOKEN = r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{12,}+"
 WRITTEN = r"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]++\s?[\[(]\s?at\s?[\])]\s?[a-z0-9-]++(?:\s?(?:[\[(]\s?dot\s?[\])]|\.)\s?[a-z0-9-]++)++"
 NUMBER = r"(?<![0-9A-Za-z.])[(]?[0-9]{2,4}+[)]?(?:[\x20./-]{1,2}[0-9]{2,6}+){1,5}(?![0-9A-Za-z])"
-#: Generator, pattern, the kind of its spans, and a quick test that a text can hold a match.
-GENERATORS = (
-    ("email", EMAIL, "email", "contains(t, '@')"),
-    ("ip", IP, "ip", "t rlike '[0-9]'"),
-    ("card", CARD, "card", "t rlike '[0-9]'"),
-    ("phone", PHONE, "phone", "contains(t, '+')"),
-    ("assigned", ASSIGNED, "secret", "t rlike '[=:]'"),
-    ("long", LONG_TOKEN, "secret", "t rlike '[0-9]'"),
-    ("written", WRITTEN, "contact", "t rlike '[\\\\[(]'"),
-    ("number", NUMBER, "number", "t rlike '[0-9]'"),
-)
-BASE = ("email", "ip", "card", "phone")
-KINDS = ("email", "ip", "card", "phone", "secret", "contact", "number")
-BINS = (8, 4, 3, 2, 2, 2, 3, 2)
+#: Base generators, and the others: pattern, what a match becomes, a quick test that a text can hold one, and the kind of its spans.
+MARKED = f"{CUT}$0{CUT}"
+BASE = {"email": (EMAIL, MARKED, "contains(t, '@')"), "ip": (IP, MARKED, "t rlike '[0-9]'"), "card": (CARD, MARKED, "t rlike '[0-9]'"), "phone": (PHONE, MARKED, "contains(t, '+')")}
+MORE = {
+    "long": (LONG_TOKEN, MARKED, "true", "secret"), "assigned": (ASSIGNED, f"$1{CUT}$2{CUT}", "t rlike '[=:]'", "secret"),
+    "written": (WRITTEN, MARKED, "t rlike '[\\\\[(]'", "contact"), "number": (NUMBER, MARKED, "t rlike '[0-9]'", "number"),
+}
+KINDS = (*BASE, "secret", "contact", "number")
+#: Names before a candidate that label it: positive for spans of the kind.
+TELLING = {
+    "secret": r"(?i)(?:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth)[^A-Za-z0-9]{1,6}$",
+    "contact": r"(?i)(?:e-?mail|contact|write|reach)[^\n]{0,12}$", "number": r"(?i)(?:tel|phone|fon|fax|call|mobile)[^\n]{0,12}$",
+}
+BINS = (4, 6, 4, 3, 2, 3, 4, 2, 3)
 CODES = math.prod(BINS)
-CONTEXT = r"(?i)(?:mail|tel|phone|fon|call|card|visa|iban|account|ip|addr|host|pass|pwd|token|secret|key|auth|contact)[^a-z\\n]{0,6}$"
-KNOWN_SECRET = r"^AKIA[0-9A-Z]{16}$"
-ROUNDS, DEPTH, RATE, PRECISION = 20, 3, 0.3, 0.95
+ROUNDS, DEPTH, RATE, PRECISION, GROUP = 20, 3, 0.3, 0.95, 128
 
 _DIGITS = "regexp_replace({x}, '[^0-9]', '')"
 _LUHN = """aggregate(sequence(1, length({d})), 0, (a, i) -> a + CASE WHEN (length({d}) - i) % 2 = 1
@@ -78,19 +82,19 @@ def _valid(generator: str, x: str) -> str:
     }.get(generator, "false")
 
 
-def _code(generator: int, name: str, x: str, before: str) -> str:
-    """SQL: the code of a candidate x after the piece before it."""
-    d = f"length({_DIGITS.format(x=x)})"
-    check = _valid(name, x) if name in ("ip", "card") else f"length({x}) = length(trim(BOTH '.-_' FROM {x}))"
+def _code(generator: int) -> str:
+    """SQL: the code of a candidate x between the pieces before and after."""
+    n, d = "length(c.x)", f"length({_DIGITS.format(x='c.x')})"
     parts = (
         f"{generator}",
-        f"CASE WHEN length({x}) < 12 THEN 0 WHEN length({x}) < 17 THEN 1 WHEN length({x}) < 24 THEN 2 ELSE 3 END",
-        f"CASE WHEN {d} * 5 < length({x}) THEN 0 WHEN {d} * 5 < length({x}) * 3 THEN 1 ELSE 2 END",
-        f"IF({x} rlike '[A-Z]' AND NOT {x} rlike '[a-z]', 1, 0)",
-        f"IF(right({before}, 24) rlike r'{CONTEXT}', 1, 0)",
-        f"IF({before} rlike '[A-Za-z0-9]$', 1, 0)",
-        f"least(2, length(regexp_replace({x}, r'[^ ().=:/-]', '')))",
-        f"IF({check}, 1, 0)",
+        f"CASE WHEN {n} < 12 THEN 0 WHEN {n} < 16 THEN 1 WHEN {n} < 20 THEN 2 WHEN {n} < 32 THEN 3 WHEN {n} < 64 THEN 4 ELSE 5 END",
+        f"CASE WHEN {d} = 0 THEN 0 WHEN {d} * 5 < {n} THEN 1 WHEN {d} < {n} THEN 2 ELSE 3 END",
+        "CASE WHEN NOT c.x rlike '[A-Z]' THEN 0 WHEN NOT c.x rlike '[a-z]' THEN 1 ELSE 2 END",
+        "IF(c.x rlike '^[0-9A-Fa-f]+$', 1, 0)",
+        "least(2, length(regexp_replace(c.x, r'[^ ().=:/_-]', '')))",
+        r"CASE WHEN right(c.before, 1) rlike r'[\x22\x27]' THEN 1 WHEN right(c.before, 1) rlike '[=:]' THEN 2 WHEN right(c.before, 1) rlike '[A-Za-z0-9]' THEN 3 ELSE 0 END",
+        "IF(right(c.before, 4) rlike '[=:]', 1, 0)",
+        r"CASE WHEN left(c.after, 1) rlike r'[\x22\x27]' THEN 1 WHEN left(c.after, 1) rlike '[A-Za-z0-9_]' THEN 2 ELSE 0 END",
     )
     out = "0"
     for size, part in zip(BINS, parts, strict=True):
@@ -98,54 +102,47 @@ def _code(generator: int, name: str, x: str, before: str) -> str:
     return f"CAST({out} AS INT)"
 
 
-def _label(name: str, x: str, before: str) -> str:
-    """SQL: the weak label of a candidate, 1 where its format is known to be personal or secret."""
-    if name in BASE:
-        return f"IF({_valid(name, x)}, 1, 0)"
-    return {
-        "assigned": f"IF({x} rlike r'[0-9]' AND length({x}) >= 14, 1, 0)",
-        "long": f"IF({x} rlike r'{KNOWN_SECRET}' OR right({before}, 24) rlike r'(?i)(?:password|token|secret|key)[^a-z]{{1,6}}$', 1, 0)",
-        "written": "1",
-        "number": f"IF({before} rlike r'\\+[0-9]{{1,3}} ?$' AND length({_DIGITS.format(x=x)}) BETWEEN 7 AND 14, 1, 0)",
-    }[name]
-
-
-def _found(pieces: str, g: int, name: str) -> str:
-    """SQL: the candidates of one generator, in order, from the pieces between and inside its marks."""
-    keep = _valid(name, "x") if name in BASE else "true"
-    row = f"named_struct('s', acc.at, 'e', acc.at + length(x), 'base', {str(name in BASE).lower()}, 'code', {_code(g, name, 'x', 'acc.prev')}, 'label', {_label(name, 'x', 'acc.prev')})"
-    kind = "array<struct<s:int,e:int,base:boolean,code:int,label:int>>"
-    good = f"concat(acc.good, CASE WHEN acc.inside AND ({keep}) THEN array({row}) ELSE acc.none END)"
-    bad = "acc.bad" if keep == "true" else f"concat(acc.bad, CASE WHEN acc.inside AND NOT ({keep}) AND length(x) > 5 THEN array({_code(g, name, 'x', 'acc.prev')}) ELSE acc.no_code END)"
-    return f"""aggregate({pieces},
-      named_struct('at', 0, 'inside', false, 'prev', '', 'good', CAST(array() AS {kind}), 'bad', CAST(array() AS array<int>),
-        'none', CAST(array() AS {kind}), 'no_code', CAST(array() AS array<int>)),
-      (acc, x) -> named_struct('at', acc.at + length(x), 'inside', NOT acc.inside, 'prev', right(x, 32),
-        'good', {good}, 'bad', {bad}, 'none', acc.none, 'no_code', acc.no_code),
-      acc -> named_struct('good', acc.good, 'bad', acc.bad))"""
+def _ends(pieces: str) -> str:
+    """SQL: where each piece ends: sums of lengths a group, their running sums, and running sums within each group."""
+    groups = f"sequence(0, CAST((size({pieces}) - 1) / {GROUP} AS INT))"
+    own = f"transform({groups}, g -> transform(slice({pieces}, g * {GROUP} + 1, {GROUP}), x -> length(x)))"
+    sums = "transform(own, g -> aggregate(g, 0, (a, x) -> a + x))"
+    starts = f"aggregate({sums}, array(0), (a, x) -> concat(a, array(element_at(a, -1) + x)))"
+    within = "slice(aggregate(g, array(start), (a, x) -> concat(a, array(element_at(a, -1) + x))), 2, size(g))"
+    # names for what is used more than once
+    return f"transform(array({own}), own -> transform(array({starts}), starts -> flatten(transform(own, (g, i) -> transform(array(starts[i]), start -> {within})[0])))[0])[0]"
+
+
+def _found(pieces: str, ends: str, checked: str) -> str:
+    """SQL: (s, e, x, before, after) of the marked pieces that pass a check, in order."""
+    each = f"transform(sequence(1, size({pieces}) - 1, 2), i -> named_struct('s', {ends}[i - 1], 'e', {ends}[i], 'x', {pieces}[i], 'before', right({pieces}[i - 1], 48), 'after', left({pieces}[i + 1], 1)))"
+    some = each if checked == "true" else f"filter({each}, c -> {checked})"
+    return f"CASE WHEN size({pieces}) > 1 THEN {some} END"
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """doc_id, fold, and for each generator its candidates (good) and the codes of base matches that fail (bad)."""
+    """doc_id, fold, base spans b_* (s, e), and of each other generator its candidates c_* (s, e, code, label)."""
     out = docs.select("doc_id", F.translate(whole_text(), CUT, "\x02").alias("t")).withColumn(
         "fold", F.pmod(F.xxhash64("t"), F.lit(2)).cast("int")
     )
-    for name, pattern, _, quick in GENERATORS:
-        marked = F.regexp_replace(F.col("t"), pattern, f"{CUT}$0{CUT}")
+    named = {**BASE, **{n: m[:3] for n, m in MORE.items()}}
+    for name, (pattern, into, quick) in named.items():
+        marked = F.regexp_replace(F.col("t"), pattern, into)
         out = out.withColumn(f"p_{name}", F.when(F.expr(quick), F.split(marked, CUT, -1)).otherwise(F.array().cast("array<string>")))
-    return out.select("doc_id", "fold", *[
-        F.expr(_found(f"p_{name}", g, name)).alias(f"c_{name}") for g, (name, *_) in enumerate(GENERATORS)
-    ])
+    # ends are needed, and computed, where there are matches only
+    out = out.select("doc_id", "fold", *[f"p_{n}" for n in named], *[F.expr(f"CASE WHEN size(p_{n}) > 1 THEN {_ends(f'p_{n}')} END").alias(f"e_{n}") for n in named])
+    spans = [F.expr(f"coalesce(transform({_found(f'p_{n}', f'e_{n}', _valid(n, 'c.x'))}, c -> named_struct('s', c.s, 'e', c.e)), CAST(array() AS array<struct<s:int,e:int>>))").alias(f"b_{n}") for n in BASE]
+    more = [
+        F.expr(f"""coalesce(transform({_found(f'p_{n}', f'e_{n}', 'true')}, c -> named_struct('s', c.s, 'e', c.e, 'code', {_code(g)}, 'label', IF(c.before rlike r"{TELLING[kind]}", 1, 0))),
+          CAST(array() AS array<struct<s:int,e:int,code:int,label:int>>))""").alias(f"c_{n}")
+        for g, (n, (*_, kind)) in enumerate(MORE.items())
+    ]
+    return out.select("doc_id", "fold", *spans, *more)
 
 
 def contingency(found: DataFrame) -> list[tuple[int, int, int, int]]:
     """(fold, code, positives, negatives) over all candidates of all documents: at most 2 * CODES rows."""
-    every = F.concat(*[
-        part for name, *_ in GENERATORS for part in (
-            F.transform(f"c_{name}.good", lambda c: F.struct(c["code"].alias("code"), c["label"].alias("label"))),
-            F.transform(f"c_{name}.bad", lambda c: F.struct(c.alias("code"), F.lit(0).alias("label"))),
-        )
-    ])
+    every = F.concat(*[F.transform(f"c_{n}", lambda c: F.struct(c["code"].alias("code"), c["label"].alias("label"))) for n in MORE])
     sums = found.select("fold", F.explode(every).alias("c")).groupBy("fold", "c.code").agg(
         F.sum("c.label").alias("pos"), F.sum(F.lit(1) - F.col("c.label")).alias("neg")
     )
@@ -200,9 +197,10 @@ def boost(counts: dict[int, tuple[int, int]]) -> list[tuple]:
 
 def thresholds(trees: list[tuple], counts: dict[int, tuple[int, int]]) -> dict[str, float]:
     """For each kind the least score from which the calibration half's candidates reach the precision."""
+    kinds = [kind for *_, kind in MORE.values()]
     out = {}
-    for kind in KINDS:
-        mine = sorted(((sum(RATE * value(t, unpacked(c)) for t in trees), p, n) for c, (p, n) in counts.items() if GENERATORS[unpacked(c)[0]][2] == kind), reverse=True)
+    for kind in TELLING:
+        mine = sorted(((sum(RATE * value(t, unpacked(c)) for t in trees), p, n) for c, (p, n) in counts.items() if kinds[unpacked(c)[0]] == kind), reverse=True)
         good = bad = 0
         least = math.inf
         for s, p, n in mine:
@@ -220,42 +218,48 @@ def tree_sql(tree: tuple) -> str:
     return f"IF(CAST(floor(c.code / {below}) AS INT) % {BINS[tree[0]]} = {tree[1]}, {tree_sql(tree[2])}, {tree_sql(tree[3])})"
 
 
-def find_pii(docs: DataFrame) -> DataFrame:
-    """doc_id, spans array<struct<kind, s, e, base, score>> in order of kind and start, of every row."""
+def _clear(spans: str, better: str) -> str:
+    """SQL: spans sorted by start, without those that a better one overlaps; if any two overlap, two neighbours do."""
+    touch = f"exists(sequence(1, size({spans}) - 1), i -> {spans}[i].s < {spans}[i - 1].e)"
+    return f"IF(size({spans}) > 1 AND {touch}, filter({spans}, x -> NOT exists({spans}, y -> y.s < x.e AND x.s < y.e AND ({better}))), {spans})"
+
+
+def find_pii(docs: DataFrame, *, trees: bool = True) -> DataFrame:
+    """doc_id, own and spans array<struct<kind, nth, s, e, base, score>> in order of kind and start, of every row; without trees no span is added."""
     found, _ = staged(candidates(docs), "candidates")
-    sums = contingency(found)
-    trees = boost({c: (p, n) for fold, c, p, n in sums if fold == 0})
-    least = thresholds(trees, {c: (p, n) for fold, c, p, n in sums if fold == 1})
-    score = "CAST(" + (" + ".join(f"{RATE} * {tree_sql(t)}" for t in trees) or "0") + " AS DOUBLE)"
-    parts, base = [], []
-    for name, _, kind, _ in GENERATORS:
-        row = f"named_struct('kind', '{kind}', 'nth', {KINDS.index(kind)}, 's', c.s, 'e', c.e, 'base', c.base, 'score', {score})"
-        (base if name in BASE else parts).append(f"transform(c_{name}.good, c -> {row})")
-    cuts = " ".join(f"WHEN '{k}' THEN {v!r}" for k, v in least.items() if k not in BASE and v < math.inf)
-    pass_ = f"x.score >= CASE x.kind {cuts} ELSE double('Infinity') END" if cuts else "false"
+    sums = contingency(found) if trees else []
+    grown = boost({c: (p, n) for fold, c, p, n in sums if fold == 0})
+    least = thresholds(grown, {c: (p, n) for fold, c, p, n in sums if fold == 1})
+    score = "CAST(" + (" + ".join(f"{RATE} * {tree_sql(t)}" for t in grown) or "0") + " AS DOUBLE)"
+    row = "named_struct('kind', '{k}', 'nth', {n}, 's', c.s, 'e', c.e, 'base', {b}, 'score', {s})"
+    base = [f"transform(b_{n}, c -> {row.format(k=n, n=KINDS.index(n), b='true', s='double(1)')})" for n in BASE]
+    more = []
+    for n, (*_, kind) in MORE.items():
+        if least[kind] < math.inf:
+            scored = f"transform(c_{n}, c -> {row.format(k=kind, n=KINDS.index(kind), b='false', s=score)})"
+            more.append(f"filter({scored}, c -> c.score >= {least[kind]!r})")
+    by_start, empty = "(a, b) -> CASE WHEN a.s <> b.s THEN a.s - b.s ELSE b.e - a.e END", f"slice({base[0]}, 1, 0)"
     out = (
         found.withColumn("own", F.expr(f"concat({', '.join(base)})"))
-        .withColumn("more", F.expr(f"filter(concat({', '.join(parts)}), x -> {pass_})"))
-        .withColumn("more", F.expr("filter(more, x -> NOT exists(own, b -> b.s < x.e AND x.s < b.e))"))
-        # of added spans that overlap, the one that starts first stays, then the longer
-        .withColumn("more", F.expr("array_sort(more, (a, b) -> CASE WHEN a.s <> b.s THEN a.s - b.s ELSE b.e - a.e END)"))
-        .withColumn("more", F.expr("""aggregate(more, named_struct('end', -1, 'kept', slice(more, 1, 0)),
-            (acc, x) -> IF(x.s >= acc.end, named_struct('end', x.e, 'kept', concat(acc.kept, array(x))), acc), acc -> acc.kept)"""))
+        .withColumn("more", F.expr(f"array_sort(array_distinct(concat({', '.join([empty, *more])})), {by_start})"))
+        .withColumn("more", F.expr(_clear("more", "y.score > x.score OR y.score = x.score AND (y.e - y.s > x.e - x.s OR y.e - y.s = x.e - x.s AND (y.s < x.s OR y.s = x.s AND y.nth < x.nth))")))
+        .withColumn("all", F.expr(f"array_sort(concat(own, more), {by_start})"))
+        .withColumn("all", F.expr(_clear("all", "y.base AND NOT x.base")))
     )
     order = "(a, b) -> CASE WHEN a.nth <> b.nth THEN a.nth - b.nth WHEN a.s <> b.s THEN a.s - b.s ELSE a.e - b.e END"
-    return out.select("doc_id", F.expr(f"array_sort(own, {order})").alias("own"), F.expr(f"array_sort(concat(own, more), {order})").alias("spans"))
+    return out.select("doc_id", F.expr(f"array_sort(own, {order})").alias("own"), F.expr(f"array_sort(all, {order})").alias("spans"))
 
 
 def redact(docs: DataFrame) -> DataFrame:
     """The documents with each span replaced by its kind in brackets; rows are matched by doc_id and text."""
-    spans = find_pii(docs.dropDuplicates(["doc_id", "text"]).withColumn("doc_id", F.struct("doc_id", F.xxhash64(whole_text()).alias("h"))))
-    named = docs.withColumn("_h", F.xxhash64(whole_text()))
-    found = spans.select(F.col("doc_id.doc_id").alias("_id"), F.col("doc_id.h").alias("_hh"), F.expr(
-        "array_sort(spans, (a, b) -> CASE WHEN a.s <> b.s THEN a.s - b.s ELSE b.e - a.e END)").alias("_spans"))
-    text = F.expr("""aggregate(_spans, named_struct('at', 0, 'out', ''), (acc, x) -> IF(x.s < acc.at, acc, named_struct('at', x.e,
+    own, id_, h, found = unused(docs, "own", "id", "h", "spans")
+    spans = find_pii(docs.dropDuplicates(["doc_id", "text"]).select(F.struct("doc_id", F.xxhash64(whole_text()).alias("h")).alias("doc_id"), "text"))
+    by_start = "array_sort(spans, (a, b) -> CASE WHEN a.s <> b.s THEN a.s - b.s ELSE b.e - a.e END)"
+    spans = spans.select(F.col("doc_id.doc_id").alias(id_), F.col("doc_id.h").alias(h), F.expr(by_start).alias(found))
+    text = F.expr(f"""aggregate({found}, named_struct('at', 0, 'out', ''), (acc, x) -> IF(x.s < acc.at, acc, named_struct('at', x.e,
         'out', concat(acc.out, substr(text, acc.at + 1, x.s - acc.at), '[', x.kind, ']'))), acc -> concat(acc.out, substr(text, acc.at + 1)))""")
-    joined = named.join(found, named["doc_id"].eqNullSafe(found["_id"]) & (named["_h"] == found["_hh"]), "left")
-    return joined.withColumn("text", F.when(F.size("_spans") > 0, text).otherwise(F.col("text"))).select(*docs.columns)
+    joined = docs.withColumn(own, F.xxhash64(whole_text())).join(spans, F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col(own) == F.col(h)), "left")
+    return joined.withColumn("text", F.when(F.size(found) > 0, text).otherwise(F.col("text"))).select(*docs.columns)
 
 
 def op1_pii(spark, sf_dir: str) -> DataFrame:

@@ -49,17 +49,44 @@ def test_personal_data_query_and_redaction(spark):
         assert got[r.doc_id].base_sha256 == hashlib.sha256(said.encode()).hexdigest() and got[r.doc_id].n_email == sum(k == "email" for k, *_ in spans)
     text = "call +49 (30) 123-4567 or a@b.de"
     assert [r.text for r in pii.redact(frame(spark, rows(text, text, None))).collect()].count("call [phone] or [email]") == 2
+    clashing = frame(spark, rows(text)).selectExpr("*", "1 AS _id", "2 AS _spans", "3 AS _h", "4 AS spans", "5 AS own")
+    assert [r.text for r in pii.redact(clashing).collect()] == ["call [phone] or [email]"] and pii.redact(clashing).columns == clashing.columns
     assert pii.find_pii(odd(spark)).count() == 12 and pii.find_pii(empty(spark)).count() == 0
 
 
 def test_trees_learn_a_rule_and_thresholds_hold():
-    codes = {c: (9, 1) if pii.unpacked(c)[3] else (0, 10) for c in range(0, pii.CODES, 7)}
+    codes = {c: (9, 1) if pii.unpacked(c)[4] else (0, 10) for c in range(0, pii.CODES, 211)}
     trees = pii.boost(codes)
     score = {c: sum(pii.RATE * pii.value(t, pii.unpacked(c)) for t in trees) for c in codes}
     assert min(s for c, s in score.items() if codes[c][0]) > 0 > max(s for c, s in score.items() if not codes[c][0])
     assert all(v == float("inf") for v in pii.thresholds(trees, codes).values()) and pii.boost({}) == []
 
 
+def test_trees_add_secrets_and_nothing_else_adds_them(spark):
+    folder = "/root/testdata/sf0.01"
+    docs = shared.table(spark, folder, "documents")
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    planted = {(i, m.start(1), m.end(1)) for i, t in texts.items() for m in re.finditer(r'(?i)token = "([0-9a-f]{40})"', t)}
+    added = {(r.doc_id, int(s), int(e)) for r in llm.QUERIES["op1_pii"](spark, folder).select("doc_id", "spans").collect() for k, s, e in (x.split(":") for x in r.spans.split(",") if x) if k == "secret"}
+    assert len(planted) > 5 and len(planted & added) >= 0.9 * len(planted) and len(added - planted) <= 0.1 * len(planted)
+    bare = pii.find_pii(docs.select("doc_id", "text"), trees=False)
+    assert bare.where("size(spans) > size(own)").count() == 0
+
+
+def test_a_text_with_very_many_matches(spark):
+    import time
+
+    def took(n):
+        docs = frame(spark, rows("x " + "a.b@c.de, " * n + 'token = "0123456789abcdef0123456789abcdef01234567"'))
+        began = time.perf_counter()
+        (row,) = pii.find_pii(docs, trees=False).collect()
+        assert len(row.own) == n and (row.own[-1].s, row.own[-1].e) == (2 + 10 * (n - 1), 10 * n)
+        return time.perf_counter() - began
+
+    took(10)
+    assert took(32_000) < 6 * max(took(8_000), 0.5)
+
+
 @pytest.mark.parametrize(("name", "label", "least"), [("op2_quality", "quality", 0.97), ("op8_toxicity", "toxic", 0.9)])
 def test_held_out_ranking(spark, name, label, least):
     scored = llm.QUERIES[name](spark, MIDDLE).join(shared.table(spark, MIDDLE, "labels"), "doc_id").where("held_out").select("score", label, "predicted").toPandas()
