@@ -3,8 +3,8 @@ r"""Mixing sources to target weights (operator 3; DataFrame functions only).
 Every document gets a hash-random key. Within its source, documents stand in
 the order of their keys; a source's budget is cut from that order at the exact
 word, whole epochs first. The running totals are distributed: the key's first
-hex digits range-partition each source into slices, slices are summed with
-map-side combining, the sums (at most 16**digits a source) are prefix-summed,
+hex digits range-partition each source into slices of about ``ROWS_A_SLICE`` rows
+or fewer, slices are summed with map-side combining, the sums are prefix-summed,
 and each slice then only needs its own running total. No task ever holds a
 whole source, so a source with a third of all rows costs no more than others.
 
@@ -13,19 +13,22 @@ share ``share`` of all words; no target passes ``cap`` times its source's words
 (water filling; the excess goes to the others by weight).
 
 Nulls and odd rows: a null text has size 0 and takes 0; null sources form one
-source; a null doc_id hashes as the empty string; rows that repeat are separate
-documents, ordered by (key, doc_id, size), which makes reruns agree. An empty
-table gives an empty result.
+source; a row with a null doc_id hashes by its text, so that many of them spread;
+rows that repeat are separate documents, ordered by (key, doc_id, size), which
+makes reruns agree. An empty table gives an empty result. Further columns are not
+read; they pass through ``mixed_documents`` whatever their names.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.llm.shared import staged, table, whole_text, word_array
+from factloom.llm.shared import staged, table, unused, whole_text, word_array
 
-WEIGHTS, SHARE, CAP, DIGITS = (5, 2, 1), 1.5, 2, 3
+WEIGHTS, SHARE, CAP, LEAST_DIGITS, ROWS_A_SLICE = (5, 2, 1), 1.5, 2, 3, 50_000
 
 
 def source_targets(sizes: DataFrame, *, weights=WEIGHTS, share: float = SHARE, cap: int = CAP) -> DataFrame:
@@ -54,18 +57,20 @@ def source_targets(sizes: DataFrame, *, weights=WEIGHTS, share: float = SHARE, c
     return chosen.select("skey", "source_size", target.alias("target"))
 
 
-def mix(docs: DataFrame, *, weights=WEIGHTS, share: float = SHARE, cap: int = CAP, digits: int = DIGITS, carry=()) -> DataFrame:
+def mix(docs: DataFrame, *, weights=WEIGHTS, share: float = SHARE, cap: int = CAP, digits: int | None = None, carry=()) -> DataFrame:
     """doc_id, source, size, source_size, target, taken; ``carry`` names expressions kept with each row."""
-    key = F.sha2(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), 256)
+    key = F.sha2(F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null "), whole_text())), 256)
     sized, _ = staged(
         docs.select(
             "doc_id", "source",
             F.coalesce(F.concat(F.lit("0"), F.col("source")), F.lit("1")).alias("skey"),
             F.size(word_array(whole_text())).cast("long").alias("size"),
             F.substring(key, 1, 16).alias("key"), *carry,
-        ).withColumn("slice", F.substring("key", 1, digits)),
+        ),
         "sizes",
     )
+    digits = digits or max(LEAST_DIGITS, math.ceil(math.log(max(sized.count(), 1) / ROWS_A_SLICE, 16)))
+    sized = sized.withColumn("slice", F.substring("key", 1, digits))
     slices = sized.groupBy("skey", "slice").agg(F.sum("size").alias("slice_size"))
     earlier = Window.partitionBy("skey").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     placed = (
@@ -92,16 +97,19 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     n_chars, where there is one, follows a text that is cut; documents of which nothing is taken go.
     """
     carried = [c for c in docs.columns if c not in ("doc_id", "source")]
-    placed = mix(docs.select(*[F.col(c).alias(f"_{c}") for c in carried], "doc_id", "source", "text"), carry=[f"_{c}" for c in carried], **options)
+    held = dict(zip(carried, unused(docs, *carried), strict=True))
+    nth, text = unused(docs, "nth", "cut")
+    placed = mix(docs, carry=[F.col(c).alias(held[c]) for c in carried], **options)
     copies = F.ceil(F.col("taken") / F.col("size")).cast("int")
-    each = placed.where("taken > 0").withColumn("nth", F.explode(F.sequence(F.lit(1), copies)))
-    words = F.least(F.col("size"), F.col("taken") - (F.col("nth") - 1) * F.col("size")).cast("int")
+    each = placed.where("taken > 0").withColumn(nth, F.explode(F.sequence(F.lit(1), copies)))
+    words = F.least(F.col("size"), F.col("taken") - (F.col(nth) - 1) * F.col("size")).cast("int")
     # pieces that end with a word each, so that white space stays as it is
-    pieces = F.split(F.col("_text"), r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])", -1)
-    cut = each.withColumn("text", F.when(words < F.col("size"), F.array_join(F.slice(pieces, F.lit(1), words), "")).otherwise(F.col("_text")))
+    pieces = F.split(F.col(held["text"]), r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])", -1)
+    cut = each.withColumn(text, F.when(words < F.col("size"), F.array_join(F.slice(pieces, F.lit(1), words), "")).otherwise(F.col(held["text"])))
     if "n_chars" in carried:
-        cut = cut.withColumn("_n_chars", F.when(words < F.col("size"), F.length("text").cast("long")).otherwise(F.col("_n_chars")))
-    return cut.select(*[c if c in ("doc_id", "source", "text") else F.col(f"_{c}").alias(c) for c in docs.columns])
+        cut = cut.withColumn(held["n_chars"], F.when(words < F.col("size"), F.length(text).cast("long")).otherwise(F.col(held["n_chars"])))
+    held["text"] = text
+    return cut.select(*[F.col(held.get(c, c)).alias(c) for c in docs.columns])
 
 
 def op3_source_mix(spark, sf_dir: str) -> DataFrame:
@@ -111,7 +119,7 @@ def op3_source_mix(spark, sf_dir: str) -> DataFrame:
 SQL = r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
-    substring(sha256(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 16) AS key FROM documents),
+    substring(sha256(coalesce(CAST(doc_id AS VARCHAR), 'null ' || coalesce(text, ''))), 1, 16) AS key FROM documents),
 s AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
     [5, 2, 1][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS INTEGER)] AS w FROM d GROUP BY source),

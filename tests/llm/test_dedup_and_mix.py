@@ -37,8 +37,11 @@ def test_exact_groups_of_odd_rows(spark):
 def test_heavy_digests_are_settled_without_a_shuffle_and_alike(spark):
     texts = ["hot"] * 300 + ["warm"] * 40 + [f"t{i}" for i in range(60)]
     docs = frame(spark, rows(*texts))
-    assert exact_dedup.frequent_digests(docs.selectExpr("doc_id", "unhex(sha2(text, 256)) AS digest").selectExpr("*", "xxhash64(digest) AS item"), track=16, heavy=4).count() >= 1
+    assert exact_dedup.frequent_digests(docs.selectExpr("doc_id", "unhex(sha2(text, 256)) AS digest", "doc_id AS nth").selectExpr("*", "xxhash64(digest) AS item"), track=16, heavy=4).count() >= 1
     few, many = (sorted(map(tuple, exact_dedup.exact_groups(docs, track=t, heavy=h).collect())) for t, h in ((16, 4), (1000, 100)))
+    clashing = docs.selectExpr("*", "1 AS _sha", "2 AS _keep", "3 AS digest", "4 AS nth", "5 AS keep", "6 AS slice", "7 AS skey", "8 AS taken", "9 AS target", "10 AS _text", "11 AS source_size")
+    assert exact_dedup.drop_copies(clashing).columns == clashing.columns == mixing.mixed_documents(clashing).columns
+    assert {(r._text, r.size, r.h, r.nth) for r in mixing.mixed_documents(clashing).collect()} == {(10, 9, 7, 4)}
     assert few == many and exact_dedup.drop_copies(docs).columns == docs.columns and exact_dedup.drop_copies(docs).count() == 62
 
 
