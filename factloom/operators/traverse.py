@@ -6,6 +6,7 @@ small side is checkpointed to the folder that ``spark.checkpoint.dir`` names.
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,7 +21,10 @@ def kept(df: DataFrame) -> DataFrame:
     spark: SparkSession = df.sparkSession
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="factloom-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir is not set: intermediate tables need a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="factloom-"))
     return df.checkpoint()
 
 

@@ -78,8 +78,9 @@ def write_text(path: Path, text: str) -> None:
     os.replace(part, path)
 
 
-def write_table(df: DataFrame, out: Path, name: str) -> DataFrame:
-    """Written beside, then swapped in: a plan may read the table it replaces."""
+def write_table(df: DataFrame, out: Path, name: str, by: str | None = None) -> DataFrame:
+    """Written beside, then swapped in: a plan may read the table it replaces. Sorted by a column over all its files, if one is named."""
+    df = df.repartitionByRange(by).sortWithinPartitions(by) if by else df
     df.write.mode("overwrite").parquet(str(out / f"{name}.part"))
     shutil.rmtree(out / name, ignore_errors=True)
     os.replace(out / f"{name}.part", out / name)
@@ -90,6 +91,11 @@ def table(spark: SparkSession, out: Path, name: str) -> DataFrame:
     return spark.read.parquet(str(out / name))
 
 
+def counts_by(df: DataFrame, column: str) -> dict[str, int]:
+    """Rows a value of a column that takes few values, in their order."""
+    return {r[0]: r[1] for r in df.groupBy(column).count().orderBy(column).collect()}
+
+
 def load(spark: SparkSession, out: Path) -> tuple[DataFrame, DataFrame, DataFrame]:
     if not (out / READY).is_file():
         raise ValueError(f"{out} is not ready")
@@ -159,6 +165,8 @@ def scan(spark: SparkSession, target: str | Path, output: str | Path, options: O
     stat = disk.inventory(spark, found)
     path = F.col("path")
     previous = manifest_of(out) if options.incremental and is_bundle(out) else None
+    if previous and previous["version"] != VERSION:  # facts of another version say nothing here
+        previous = None
 
     # contents are read where size or time tell of a change, and everywhere in a full build
     if previous:
@@ -187,7 +195,7 @@ def scan(spark: SparkSession, target: str | Path, output: str | Path, options: O
 
     made_nodes, made_edges = structure(files, target)
     base = [traverse.kept(t) for t in facts.graph_of(fact_nodes.unionByName(made_nodes), fact_edges.unionByName(made_edges))]
-    nodes, edges, evidence = (write_table(t, out, n) for t, n in zip(enriched(*base, files, config), ("nodes", "edges", "evidence"), strict=True))
+    nodes, edges, evidence = (write_table(t, out, n, "id") for t, n in zip(enriched(*base, files, config), ("nodes", "edges", "evidence"), strict=True))
     write_table(files, out, "files")
     write_table(spark.createDataFrame(skipped, "path string, reason string"), out, "skipped")
     own = facts.identified(fact_edges).dropDuplicates(["path", "id"])
@@ -200,8 +208,11 @@ def scan(spark: SparkSession, target: str | Path, output: str | Path, options: O
         "version": VERSION, "target": str(target), "output": str(out), "at": datetime.now(UTC).isoformat(timespec="seconds"), "freshness": "current",
         "options": asdict(options), "effective": {"include": merged.include, "disable_default_ignore": merged.disable_default_ignore, "no_default_ignores": merged.no_default_ignores},
         "config": config.path, "config_stamp": config.stamp, "aliases": aliases, "declarations": DECLARATIONS, "ignore_rules": rules, "refresh": plan | {"reused": len(found) - read.count() if plan["mode"] == "incremental" else 0},
+        "cache": {"reused": files.count() - read.count(), "read": read.count(), "written": fact_nodes.select("path").unionByName(fact_edges.select("path")).distinct().count()},
         "quality": {"status": quality.status(measured).first()["status"], "gates": [r.asDict() for r in quality.gates(measured).collect()], "components": summary,
-                    "skipped_count": len(skipped), **measured.first().asDict(), **graph.totals(nodes, edges, evidence).first().asDict()},
+                    "skipped_count": len(skipped), **measured.first().asDict(), **graph.totals(nodes, edges, evidence).first().asDict(),
+                    "content_domain_counts": counts_by(files, "domain"), "unsupported_by_domain": counts_by(files.where("NOT supported"), "domain"), "extractors": counts_by(files.where("supported"), "extractor"),
+                    "nodes_by_kind": counts_by(nodes, "kind"), "relationship_edges_by_kind": counts_by(edges.where(graph.semantic()), "kind")},
         "observed_kinds": [r.asDict() for r in quality.observed_kinds(results).collect()],
     }
     write_text(out / REPORT, report(manifest))
@@ -246,8 +257,9 @@ def status(spark: SparkSession, output: str | Path) -> dict:
         moved = not path.is_file() or [path.stat().st_size, path.stat().st_mtime_ns] != kept["config_stamp"]
     diff = traverse.kept(freshness.stat_diff(table(spark, out, "files"), disk.inventory(spark, now)))
     row = freshness.freshness(diff, config_changed=moved).first()
+    known = table(spark, out, "files").count()
     paths = {s: [r["path"] for r in diff.where(F.col("state") == s).select("path").orderBy("path").toLocalIterator()] for s in ("added", "deleted", "changed")}
-    return said | {"freshness": row["freshness"], "config_changed": moved, "counts": {s: row[s] for s in paths}, **paths}
+    return said | {"freshness": row["freshness"], "config_changed": moved, "counts": {s: row[s] for s in paths}, "indexed_file_count": known, "current_file_count": len(now), **paths}
 
 
 def query(spark: SparkSession, output: str | Path, node: str, *, depth: int = 1, direction: str = "out", confidence: tuple[str, ...] = (), containment: bool = False) -> dict:
@@ -285,12 +297,14 @@ def doctor(spark: SparkSession, output: str | Path) -> dict:
     on_disk = {"ready_marker": (out / READY).is_file(), "graph_tables": is_bundle(out), "manifest_file": True}
     if (out / VAULT).is_dir():
         paths = traverse.kept(export.note_paths(nodes))
-        clashes = graph.duplicates(paths, export.folded(F.col("note"))).isEmpty()
+        same, clashes = (graph.duplicates(paths, c).isEmpty() for c in (F.col("note"), export.folded(F.col("note"))))
         reserved = paths.where(export.folded(F.col("note")).isin(*[r.lower() for r in export.RESERVED])).isEmpty()
         there = spark.createDataFrame([(p.relative_to(out / VAULT).with_suffix("").as_posix(),) for p in (out / VAULT).rglob("*.md")], "note string")
-        on_disk |= {"note_paths_unique": clashes, "note_paths_free": reserved, "notes_present": paths.join(there, "note", "left_anti").isEmpty(), "vault_settings": (out / VAULT / "view.json").is_file()}
-    checks = [r.asDict() for r in quality.doctor(measured, kept["quality"]["status"], status(spark, out)["freshness"], **on_disk).collect()]
-    return {"status": "passed" if all(c["passed"] for c in checks) else "failed", "checks": checks}
+        on_disk |= {"note_paths_unique": same, "note_paths_unique_folded": clashes, "note_paths_free": reserved, "notes_present": paths.join(there, "note", "left_anti").isEmpty(), "vault_settings": (out / VAULT / "view.json").is_file()}
+    now = status(spark, out)
+    checks = [r.asDict() for r in quality.doctor(measured, kept["quality"]["status"], now["freshness"], **on_disk).collect()]
+    verdict = "passed" if all(c["passed"] for c in checks) else "failed"
+    return {"status": verdict, "checks": checks, "target": kept["target"], "output": str(out), "freshness": now, "quality": kept["quality"]}
 
 
 def write_vault(nodes: DataFrame, edges: DataFrame, out: Path) -> None:

@@ -88,7 +88,12 @@ def test_notes_logs_config_and_metadata(spark, bundle):
 def test_verdicts_and_vault(spark, bundle):
     target, out, manifest = bundle
     assert manifest["quality"]["status"] == "passed", manifest["quality"]
-    assert engine.doctor(spark, out)["status"] == "passed"
+    sound = engine.doctor(spark, out)
+    assert sound["status"] == "passed" and sound["freshness"]["indexed_file_count"] == sound["freshness"]["current_file_count"] == manifest["quality"]["file_count"]
+    q = manifest["quality"]
+    assert q["nodes_by_kind"]["file"] == q["file_count"] == sum(q["content_domain_counts"].values()) and q["extractors"]["python.ast"] == 2 and q["unsupported_by_domain"] == {}
+    ids = [r.id for r in engine.table(spark, out, "edges").collect()]
+    assert ids == sorted(ids) and manifest["cache"]["reused"] == 0
     assert engine.status(spark, out)["freshness"] == "current"
     names = {p.relative_to(out / "vault").as_posix() for p in (out / "vault").rglob("*.md")}
     assert {"index.md", "Dashboards/Architecture.md", "Indexes/Files.md", "Files/README.md.md", "Concepts/Stable_Graph.md"} <= names
