@@ -162,6 +162,31 @@ def test_recall_on_the_table(spark):
     assert len(got) == sum(ids % 20 == 0) and hits >= 0.9 * 20 * len(got)
 
 
+def test_recall_among_many_vectors():
+    """50,000 vectors, a third of them near copies of one: recall against brute force, one block."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(50_000, 64))
+    x[::3] = x[0] + 0.05 * rng.normal(size=(len(x[::3]), 64))
+    asked = np.arange(0, 50_000, 500)
+    found = ann.CollisionIndex(x).search(x[asked], ann.K, [np.array([i]) for i in asked])
+    hits = 0
+    for q, (rows_, scores) in zip(asked, found, strict=True):
+        exact = x @ x[q]
+        exact[q] = -np.inf
+        hits += len(set(np.argsort(-exact)[: ann.K]) & set(rows_[np.argsort(-scores)[: ann.K]]))
+        assert np.allclose(scores, exact[rows_])
+    assert hits >= 0.9 * ann.K * len(asked)
+
+
+def test_repeated_and_huge_vectors(spark):
+    """Rows that repeat id and vector stay separate candidates; lengths far apart and near overflow end."""
+    got = ann.nearest(_near(spark, [(0, [1.0, 0.0])] * 3 + [(1, [2.0, 0.0])] * 40 + [(2, [3.0, 1.0])]), F.col("vec_id") % 20 == 0, k=5).collect()
+    assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in got) == [(0, 1, 2, 3.0)] + [(0, i, 1, 2.0) for i in (2, 3, 4, 5)]
+    wide = [(i, [10.0 ** (i % 7 - 3), float(i), 1e150]) for i in range(60)]
+    got = ann.nearest(_near(spark, wide), F.col("vec_id") % 20 == 0, k=70).collect()
+    assert len(got) == 3 * 59 and {r.query_id for r in got} == {0, 20, 40}
+
+
 def test_odd_vectors_take_no_part(spark):
     nan = float("nan")
     vectors = [(0, [1.0, 0.0]), (20, None), (1, [0.0, 0.0]), (2, [nan, 1.0]), (3, [1.0, None]), (4, []), (5, [2.0, 1.0]), (6, [2.0, 5.0]), (None, [1.0, 1.0]), (7, [1.0, 2.0, 3.0]), (40, [1.0, 1.0, 1.0])]
