@@ -1,31 +1,17 @@
 """Iterative graph operators: bounded breadth-first search and connected components.
 
-Each step is a join of a frontier or labelling with the edges; between steps the
-small side is checkpointed to the folder that ``spark.checkpoint.dir`` names.
+Each step is a join of a frontier or labelling with the edges; between steps what
+is left is written to the shared folder, so that a join knows its sides' sizes.
 """
 
 from __future__ import annotations
 
-import re
-import tempfile
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions.text import walk_key
 from factloom.operators import graph
-
-
-def kept(df: DataFrame) -> DataFrame:
-    """The rows, computed once and kept in the shared folder, which outlives a lost executor."""
-    spark: SparkSession = df.sparkSession
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
-            raise RuntimeError("spark.checkpoint.dir is not set: intermediate tables need a folder that all executors share")
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="factloom-"))
-    return df.checkpoint()
+from factloom.operators.held import kept, measured
 
 
 def subgraph(nodes: DataFrame, edges: DataFrame, roots: DataFrame, *, depth: int = 1, direction: str = "out", confidence: tuple[str, ...] = (), containment: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -62,27 +48,44 @@ def walk_order(files: DataFrame, spread: int | None = None) -> DataFrame:
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, component) of every node over edges that are no containment and have both ends; a component is named by its least id.
 
-    Alternates large-star and small-star steps: the number of rounds grows with the logarithm of a component's size.
+    Nodes are numbered in the order of their ids. A round gives each node its least neighbour or itself, follows these
+    to their ends by pointer jumping, and contracts the edges: of the nodes that still have edges at most half are left
+    after two rounds.
     """
     ids = nodes.select("id").distinct()
-    links = (
-        edges.where(graph.semantic() & (F.col("src") != F.col("dst")))
-        .join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
-        .select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct()
+    numbered = measured(ids.repartitionByRange("id").sortWithinPartitions("id").select("id", F.monotonically_increasing_id().alias("n")))
+    now = measured(
+        edges.where(graph.semantic() & (F.col("src") != F.col("dst"))).select("src", "dst")
+        .join(numbered.select(F.col("id").alias("src"), F.col("n").alias("u")), "src")
+        .join(numbered.select(F.col("id").alias("dst"), F.col("n").alias("v")), "dst").select("u", "v")
     )
-    now, mark = kept(links), None
-    while True:
+    placed = None
+    while not now.isEmpty():
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
-        floor = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(floor, "u")
-        now = kept(joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(joined.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
-        new = tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if new == mark:
-            break
-        mark = new
-    return ids.join(now.select(F.col("u").alias("id"), F.col("v").alias("component")), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+        tops = _tops(measured(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("top"))))
+        placed = tops if placed is None else measured(_moved(placed, "top", tops))
+        now = measured(_moved(_moved(now, "u", tops), "v", tops).where("u <> v").distinct())
+    if placed is None:
+        return ids.select("id", F.col("id").alias("component"))
+    names = measured(placed.select(F.col("top").alias("n")).distinct().join(numbered, "n").select(F.col("n").alias("top"), F.col("id").alias("component")))
+    told = numbered.join(placed.withColumnRenamed("u", "n"), "n", "left").join(names, "top", "left")
+    return told.select("id", F.coalesce("component", "id").alias("component"))
+
+
+def _moved(rows: DataFrame, at: str, tops: DataFrame) -> DataFrame:
+    """rows with the nodes of a column replaced by their tops; nodes without one stay."""
+    to = tops.where("u <> top").select(F.col("u").alias(at), F.col("top").alias("_to"))
+    return rows.join(to, at, "left").withColumn(at, F.coalesce("_to", at)).select(rows.columns)
+
+
+def _tops(up: DataFrame) -> DataFrame:
+    """(u, top) with each top followed to its end; every step doubles the way that is followed."""
+    while True:
+        next_up = up.where("u <> top").select(F.col("u").alias("top"), F.col("top").alias("_next"))
+        jumped = measured(up.join(next_up, "top", "left").select("u", F.coalesce("_next", "top").alias("top"), F.col("_next").isNotNull().alias("moved")))
+        up = jumped.select("u", "top")
+        if jumped.where("moved").isEmpty():
+            return up
 
 
 def component_summary(placed: DataFrame) -> DataFrame:

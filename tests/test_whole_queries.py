@@ -41,3 +41,25 @@ def test_walk_order_of_the_whole_tree(spark):
     top = spark.createDataFrame([("b/a",), ("z",), ("a/x/y",), ("a/z",), ("a",)], "path string")
     assert [r.path for r in traverse.walk_order(top, 3).orderBy("nth").collect()] == ["a", "z", "a/z", "a/x/y", "b/a"]
     assert traverse.walk_order(top.limit(0)).count() == 0
+
+
+def _nodes_edges(spark, links, more=()):
+    ids = sorted({i for e in links for i in e} | set(more))
+    nodes = spark.createDataFrame([(i,) for i in ids], "id string")
+    edges = spark.createDataFrame([(f"e{n}", "calls", a, b) for n, (a, b) in enumerate(links)], "id string, kind string, src string, dst string")
+    return nodes, edges
+
+
+def test_components_contract_long_paths_and_stars_in_few_rounds(spark, monkeypatch):
+    """A path in the order of its ids, a star whose centre is the largest, pairs, and nodes alone; alternating stars needed twice the rounds."""
+    name = lambda i: f"n{i:05}"
+    links = [(name(i), name(i + 1)) for i in range(600)] + [("z", name(2000 + i)) for i in range(200)] + [("x", "x"), ("y", "w"), ("w", "y")]
+    nodes, edges = _nodes_edges(spark, links, ["alone"])
+    written, measured = [], traverse.measured
+    monkeypatch.setattr(traverse, "measured", lambda df: written.append(df) or measured(df))
+    got = {r.id: r.component for r in traverse.components(nodes, edges).collect()}
+    want = {name(i): name(0) for i in range(601)} | {name(2000 + i): name(2000) for i in range(200)} | {"z": name(2000), "x": "x", "y": "w", "w": "w", "alone": "alone"}
+    assert got == want
+    assert len(written) <= 24
+    empty = traverse.components(nodes, edges.limit(0))
+    assert {r.id for r in empty.where("id = component").collect()} == set(want)
