@@ -18,12 +18,12 @@ def subgraph(nodes: DataFrame, edges: DataFrame, roots: DataFrame, *, depth: int
     """Nodes and edges met within ``depth`` steps of the roots (id); neighbours without a node row are passed through, not returned."""
     usable = graph.with_confidence(edges if containment else edges.where(graph.semantic()), confidence)
     hops = graph.adjacency(usable, direction)
-    seen = frontier = kept(roots.select("id").distinct())
+    seen = frontier = measured(roots.select("id").distinct())
     met = None
     for _ in range(max(depth, 0)):
-        step = kept(hops.join(frontier.withColumnRenamed("id", "cur"), "cur", "left_semi"))
+        step = measured(hops.join(frontier.withColumnRenamed("id", "cur"), "cur", "left_semi"))
         met = step.select("edge") if met is None else met.unionByName(step.select("edge"))
-        frontier = kept(step.select(F.col("nbr").alias("id")).distinct().join(seen, "id", "left_anti"))
+        frontier = measured(step.select(F.col("nbr").alias("id")).distinct().join(seen, "id", "left_anti"))
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)

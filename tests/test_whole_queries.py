@@ -1,6 +1,6 @@
 from conftest import SMALL
 
-from factloom.operators import traverse
+from factloom.operators import graph, traverse
 from factloom.plans import catalog
 from factloom.sources.collections import collection
 
@@ -63,3 +63,20 @@ def test_components_contract_long_paths_and_stars_in_few_rounds(spark, monkeypat
     assert len(written) <= 24
     empty = traverse.components(nodes, edges.limit(0))
     assert {r.id for r in empty.where("id = component").collect()} == set(want)
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def _wide(spark, rows, schema):
+    """A table whose size the optimizer does not know and takes for large."""
+    return spark.createDataFrame(spark.sparkContext.parallelize(rows, 2), schema)
+
+
+def test_traversal_does_not_shuffle_edges_for_a_small_frontier(spark):
+    nodes = _wide(spark, [(i,) for i in "abcd"], "id string")
+    edges = _wide(spark, [(f"e{a}{b}", "calls", "PROVEN", a, b) for a, b in ("ab", "bc", "cd")], "id string, kind string, confidence string, src string, dst string")
+    near, met = traverse.subgraph(nodes, edges, nodes.where("id = 'a'"), depth=2, direction="both")
+    assert "BroadcastHashJoin" in _plan(met) and "SortMergeJoin" not in _plan(met)
+    assert ({r.id for r in near.collect()}, {r.id for r in met.collect()}) == ({"a", "b", "c"}, {"eab", "ebc"})
