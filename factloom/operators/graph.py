@@ -1,7 +1,8 @@
 """Relational operators over a property graph: nodes, edges (src, dst, evidence_id) and evidence.
 
 Joins are by id and left to the optimizer: no hint forces a broadcast, so a side
-is broadcast only where its measured size allows. Hot nodes are split by AQE.
+is broadcast only where its measured size allows. What is mostly small, hubs and
+ids that no node has, is written first, so that edges need not be shuffled for it.
 """
 
 from __future__ import annotations
@@ -9,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factloom.operators.held import measured
+
 CONFIDENCES = ("PROVEN", "DERIVED", "INFERRED", "UNRESOLVED")
 
 
@@ -108,9 +111,11 @@ def hub_details(nodes: DataFrame, edges: DataFrame, kinds: tuple[str, ...], k: i
 
 
 def missing_endpoints(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    known = nodes.select("id").distinct()
-    gone = [edges.join(known.withColumnRenamed("id", end), end, "left_anti").select("id", "kind", "src", "dst") for end in ("src", "dst")]
-    return gone[0].unionByName(gone[1]).distinct()
+    """Distinct edges with an end that no node has. Ends are looked up once each, so a hub's edges don't meet in one task."""
+    ends = edges.select(F.col("src").alias("end")).unionByName(edges.select(F.col("dst").alias("end"))).distinct()
+    gone = measured(ends.join(nodes.select(F.col("id").alias("end")), "end", "left_anti"))
+    lost = [edges.join(gone, edges[c].eqNullSafe(gone["end"]), "left_semi").select("id", "kind", "src", "dst") for c in ("src", "dst")]
+    return lost[0].unionByName(lost[1]).distinct()
 
 
 def without_evidence(edges: DataFrame) -> DataFrame:

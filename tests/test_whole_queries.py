@@ -80,3 +80,11 @@ def test_traversal_does_not_shuffle_edges_for_a_small_frontier(spark):
     near, met = traverse.subgraph(nodes, edges, nodes.where("id = 'a'"), depth=2, direction="both")
     assert "BroadcastHashJoin" in _plan(met) and "SortMergeJoin" not in _plan(met)
     assert ({r.id for r in near.collect()}, {r.id for r in met.collect()}) == ({"a", "b", "c"}, {"eab", "ebc"})
+
+
+def test_missing_endpoints_look_each_end_up_once(spark):
+    nodes = _wide(spark, [("a",), ("a",), ("b",)], "id string")
+    rows = [("1", "k", "a", "b"), ("2", "k", "a", "x"), ("3", "k", "y", "b"), ("4", "k", "y", "x"), ("4", "k", "y", "x"), ("5", "k", None, "b")]
+    lost = graph.missing_endpoints(_wide(spark, rows, "id string, kind string, src string, dst string"), nodes)
+    assert _plan(lost).count("BroadcastHashJoin") >= 2 and "SortMergeJoin" not in _plan(lost)
+    assert sorted(r.id for r in lost.collect()) == ["2", "3", "4", "5"]
