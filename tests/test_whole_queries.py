@@ -88,3 +88,13 @@ def test_missing_endpoints_look_each_end_up_once(spark):
     lost = graph.missing_endpoints(_wide(spark, rows, "id string, kind string, src string, dst string"), nodes)
     assert _plan(lost).count("BroadcastHashJoin") >= 2 and "SortMergeJoin" not in _plan(lost)
     assert sorted(r.id for r in lost.collect()) == ["2", "3", "4", "5"]
+
+
+def test_edge_links_keep_every_id_and_pack_hashed_ones(spark):
+    ids = ["edge:" + "0a" * 12, "edge:" + "0A" * 12, "edge:" + "0a" * 12 + "\n", "edge:" + "0a" * 11, "edge", "", None]
+    edges = _wide(spark, [(i, "calls", "a", "b") for i in ids], "id string, kind string, src string, dst string")
+    links = graph.edge_links(edges, _wide(spark, [("a", "A")], "id string, label string"))
+    assert "unhex" in _plan(links)
+    key = lambda x: (x is None, x or "")
+    assert sorted((r.id for r in links.collect()), key=key) == sorted(ids, key=key)
+    assert {(r.src_label, r.dst_label) for r in links.collect()} == {("A", None)}
