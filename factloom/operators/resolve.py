@@ -1,8 +1,9 @@
 """Import specifiers to files of an inventory.
 
-A specifier becomes at most four keys a base path (the path itself, with an
+A distinct base path becomes at most four keys (the path itself, with an
 extension, with its extension replaced, an index file in it); the inventory is
 keyed by path and by path without extension; one equi-join and a minimum choose.
+Specifiers join their base path's file.
 """
 
 from __future__ import annotations
@@ -48,23 +49,44 @@ def bases(path: Column, module: Column, aliases: list[tuple[str, str]]) -> Colum
     return F.transform(raw, normal_path)
 
 
-def resolved(imports: DataFrame, inventory: DataFrame, aliases: list[tuple[str, str]]) -> DataFrame:
-    """(path, module, target): each distinct specifier of a file with the file it means, null if none."""
-    wanted = imports.select("path", "module").distinct()
-    keys = lambda b: F.array(
-        F.struct(F.lit(0).alias("way"), b.alias("key"), F.lit("=").alias("how")), F.struct(F.lit(1).alias("way"), b.alias("key"), F.lit("s").alias("how")),
-        F.struct(F.lit(2).alias("way"), F.when(b.rlike(_EXTENSION), F.regexp_replace(b, _EXTENSION, "")).alias("key"), F.lit("s").alias("how")),
-        F.struct(F.lit(3).alias("way"), F.concat(b, F.lit("/index")).alias("key"), F.lit("s").alias("how")),
-    )
-    asked = (
-        wanted.select("path", "module", F.posexplode(bases(F.col("path"), F.col("module"), aliases)).alias("nth", "base")).where("base IS NOT NULL")
-        .select("path", "module", "nth", F.explode(keys(F.lower("base"))).alias("k")).where("k.key IS NOT NULL").select("path", "module", "nth", "k.way", "k.key", "k.how")
+def targets(keys: DataFrame, inventory: DataFrame) -> DataFrame:
+    """(key, target) of the base paths (key: in lower case, distinct) that mean a file."""
+    base = F.col("key")
+    tried = F.array(
+        F.struct(F.lit(0).alias("way"), base.alias("name"), F.lit("=").alias("how")), F.struct(F.lit(1).alias("way"), base.alias("name"), F.lit("s").alias("how")),
+        F.struct(F.lit(2).alias("way"), F.when(base.rlike(_EXTENSION), F.regexp_replace(base, _EXTENSION, "")).alias("name"), F.lit("s").alias("how")),
+        F.struct(F.lit(3).alias("way"), F.concat(base, F.lit("/index")).alias("name"), F.lit("s").alias("how")),
     )
+    asked = keys.select("key", F.explode(tried).alias("k")).where("k.name IS NOT NULL").select("key", "k.way", "k.name", "k.how")
     ext = F.lower(F.regexp_extract("path", _EXTENSION, 0))
     rank = F.array_position(F.array(*map(F.lit, ORDER)), ext)
     there = inventory.select(F.col("path").alias("target"), rank.alias("rank"), F.explode(F.array(
-        F.struct(F.lit("=").alias("how"), F.lower("path").alias("key")), F.struct(F.lit("s").alias("how"), F.when(rank > 0, F.regexp_replace(F.lower("path"), _EXTENSION, "")).alias("key")),
-    )).alias("k")).where("k.key IS NOT NULL").select("target", "rank", "k.how", "k.key")
+        F.struct(F.lit("=").alias("how"), F.lower("path").alias("name")), F.struct(F.lit("s").alias("how"), F.when(rank > 0, F.regexp_replace(F.lower("path"), _EXTENSION, "")).alias("name")),
+    )).alias("k")).where("k.name IS NOT NULL").select("target", "rank", "k.how", "k.name")
     code_only = (F.col("way") != 3) | (F.col("rank") <= len(ORDER) - len(MARKDOWN))
-    best = asked.join(there, ["how", "key"]).where(code_only).groupBy("path", "module").agg(F.min_by("target", F.struct("nth", "way", "rank", "target")).alias("target"))
-    return wanted.join(best, ["path", "module"], "left")
+    return asked.join(there, ["how", "name"]).where(code_only).groupBy("key").agg(F.min_by("target", F.struct("way", "rank", "target")).alias("target"))
+
+
+def with_target(imports: DataFrame, inventory: DataFrame, aliases: list[tuple[str, str]]) -> DataFrame:
+    """imports (path, module and more), each with the file that its specifier means, null if none.
+
+    Only distinct base paths meet the inventory; a specifier without a base gets a key of its own that no base has
+    (a base never starts with /), so that these do not gather in one task.
+    """
+    based = bases(F.col("path"), F.col("module"), aliases)
+    # outer, as for a plain explode the optimizer adds a filter that makes the bases once more
+    found = imports.select(F.explode_outer(based).alias("base")).where("base IS NOT NULL")
+    known = targets(found.select(F.lower("base").alias("key")).distinct(), inventory)
+    own = F.concat_ws("|", F.lit("/"), "path", "module")
+    if len(aliases) <= 1:  # one base at most
+        keyed = imports.withColumn("key", F.coalesce(F.lower(F.get(based, F.lit(0))), own))
+        return keyed.join(known, "key", "left").select(*imports.columns, "target")
+    keyed = imports.select("path", "module").distinct().select("path", "module", F.posexplode_outer(based).alias("nth", "base"))
+    each = keyed.withColumn("key", F.coalesce(F.lower("base"), own)).join(known, "key", "left")
+    first = each.groupBy("path", "module").agg(F.min_by("target", F.when(F.col("target").isNotNull(), F.col("nth"))).alias("target"))
+    return imports.join(first, ["path", "module"], "left").select(*imports.columns, "target")
+
+
+def resolved(imports: DataFrame, inventory: DataFrame, aliases: list[tuple[str, str]]) -> DataFrame:
+    """(path, module, target): each distinct specifier of a file with the file it means, null if none."""
+    return with_target(imports.select("path", "module").distinct(), inventory, aliases)

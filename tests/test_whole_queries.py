@@ -1,6 +1,6 @@
 from conftest import SMALL
 
-from factloom.operators import graph, traverse
+from factloom.operators import graph, resolve, traverse
 from factloom.plans import catalog
 from factloom.sources.collections import collection
 
@@ -98,3 +98,15 @@ def test_edge_links_keep_every_id_and_pack_hashed_ones(spark):
     key = lambda x: (x is None, x or "")
     assert sorted((r.id for r in links.collect()), key=key) == sorted(ids, key=key)
     assert {(r.src_label, r.dst_label) for r in links.collect()} == {("A", None)}
+
+
+def test_only_distinct_bases_meet_the_inventory(spark):
+    files = spark.createDataFrame([("src/ui/a.tsx",), ("src/ui/a.ts",), ("lib/b/index.js",), ("src/c.md",)], "path string")
+    rows = [("src/x/m.ts", "../ui/a"), ("src/x/m.ts", "@/ui/A"), ("src/x/m.ts", "kit"), ("src/x/m.ts", "@/b"), ("src/n.ts", "./ui/a"), ("src/n.ts", "./c"), ("src/n.ts", "../../out")]
+    imports = spark.createDataFrame(rows + rows[:1], "path string, module string")
+    a, b = "src/ui/a.ts", "lib/b/index.js"
+    for aliases, there in (([("@/*", "src/*")], None), ([("@/*", "src/*"), ("@/*", "lib/*")], b)):
+        want = dict(zip(rows, [a, a, None, there, a, "src/c.md", None], strict=True))
+        got = resolve.with_target(imports, files, aliases).collect()
+        assert len(got) == 8 and {(r.path, r.module): r.target for r in got} == want
+        assert resolve.resolved(imports, files, aliases).count() == 7
