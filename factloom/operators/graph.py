@@ -82,7 +82,7 @@ def first_per_kind(nodes: DataFrame, kinds: tuple[str, ...], k: int) -> DataFram
 
 def hub_files(nodes: DataFrame, edges: DataFrame, kinds: tuple[str, ...], k: int) -> DataFrame:
     """For each hub its k files with the most semantic edges, and the kinds of edge that tie them to it."""
-    hubs = nodes.where(F.col("kind").isin(*kinds)).select(F.col("id").alias("hub"))
+    hubs = measured(nodes.where(F.col("kind").isin(*kinds)).select(F.col("id").alias("hub")))
     files = nodes.where(F.col("kind") == "file").select(F.col("id").alias("file"), "source_path")
     tied = (
         edges.where(semantic()).select(F.col("dst").alias("hub"), F.col("src").alias("file"), "kind")
@@ -96,7 +96,7 @@ def hub_files(nodes: DataFrame, edges: DataFrame, kinds: tuple[str, ...], k: int
 
 def hub_details(nodes: DataFrame, edges: DataFrame, kinds: tuple[str, ...], k: int) -> DataFrame:
     """As hub_files, over the files that belong to a hub or are categorized as it; with their ids, how many a hub has, and how many edges of each kind tie them."""
-    hubs = nodes.where(F.col("kind").isin(*kinds)).select(F.col("id").alias("hub"))
+    hubs = measured(nodes.where(F.col("kind").isin(*kinds)).select(F.col("id").alias("hub")))
     files = nodes.where(F.col("kind") == "file").select(F.col("id").alias("file"), F.coalesce("source_path", "id").alias("source_path"))
     tied = (
         edges.where(F.col("kind").isin("belongs_to", "categorized_as")).select(F.col("dst").alias("hub"), F.col("src").alias("file"), "kind")

@@ -90,6 +90,14 @@ def test_missing_endpoints_look_each_end_up_once(spark):
     assert sorted(r.id for r in lost.collect()) == ["2", "3", "4", "5"]
 
 
+def test_hubs_are_broadcast(spark):
+    nodes = _wide(spark, [("f1", "file", "f1", "1"), ("f2", "file", "f2", "2"), ("r", "role", "r", None)], "id string, kind string, label string, source_path string")
+    edges = _wide(spark, [("1", "categorized_as", "f1", "r"), ("2", "belongs_to", "f1", "r"), ("3", "calls", "f2", "r")], "id string, kind string, src string, dst string")
+    found = graph.hub_files(nodes, edges, ("role",), 8)
+    assert "BroadcastHashJoin" in _plan(found)
+    assert [(r.source_path, r.rank, r.degree, r.reasons) for r in found.orderBy("rank").collect()] == [("1", 1, 2, "belongs_to,categorized_as"), ("2", 2, 1, "calls")]
+
+
 def test_edge_links_keep_every_id_and_pack_hashed_ones(spark):
     ids = ["edge:" + "0a" * 12, "edge:" + "0A" * 12, "edge:" + "0a" * 12 + "\n", "edge:" + "0a" * 11, "edge", "", None]
     edges = _wide(spark, [(i, "calls", "a", "b") for i in ids], "id string, kind string, src string, dst string")
